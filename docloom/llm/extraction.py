@@ -50,7 +50,7 @@ class Page:
     """The elements of a page as parallel lists in document order, and its runs of text."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.beside = [-1], ["#root"], [False]
+        self.parent, self.tag, self.beside, self.inside = [-1], ["#root"], [False], [False]
         self.text: list[tuple[int, str]] = []  # (element, decoded text); None marks a block's edge
         self.edges: list[int] = []
         self._read(source)
@@ -86,7 +86,8 @@ class Page:
             i = len(tag)
             tag.append(name)
             self.parent.append(stack[-1])
-            self.beside.append(self._is_beside(name, attributes, stack))
+            self.inside.append(self.inside[stack[-1]] or name in ("article", "main"))
+            self.beside.append(self._is_beside(name, attributes, self.inside[stack[-1]]))
             if name in BLOCK:
                 self.edges.append(len(self.text))
             if name == "br":
@@ -142,10 +143,9 @@ class Page:
             self.edges.append(len(self.text))
         del stack[k:]
 
-    def _is_beside(self, name: str, attributes: str, stack: list[int]) -> bool:
+    def _is_beside(self, name: str, attributes: str, inside: bool) -> bool:
         if name in DROPPED:
             return True
-        inside = any(self.tag[i] in ("article", "main") for i in stack)
         if name == "header":
             return not inside
         if not attributes or name in ("html", "body", "article", "main"):
