@@ -19,9 +19,7 @@ BITS = 2
 #: 0.038, so that it falls below similarity - SLACK with probability 0.00002 or less, and only for pairs on the limit.
 SLACK = 0.16
 #: Members of a band's bucket that are compared at once; larger buckets are compared chunk by chunk.
-CHUNK = 4096
-#: In the first comparison inside buckets, each document proposes so many of its most similar ones.
-NEAREST = 8
+CHUNK = 1024
 
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
@@ -111,34 +109,78 @@ def _confirm(percent: int):
     return run
 
 
-def _proposals(least: float, nearest: int | None):
-    """Pairs of different components within a bucket (or between two chunks of it) whose estimate is high enough."""
+class _Bucket:
+    """Members of one bucket, or of two chunks of it: those of rows are compared with those of cols."""
+
+    def __init__(self, table: pa.Table, least: float):
+        order = np.argsort(table.column("rep").to_numpy(), kind="stable")
+        self.order, self.least = order, least
+        self.rep, self.comp, side = (table.column(x).to_numpy()[order] for x in ("rep", "comp", "side"))
+        self.comp = self.comp.copy()
+        n = len(order)
+        self.band = int(table.column("band")[0].as_py())
+        self.bands = np.ascontiguousarray(table.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)[order])
+        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), U).reshape(n, -1)[order]
+        if (side < 2).any():
+            self.rows, self.cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        else:  # within a chunk: whoever isn't in the largest component, with all
+            names, sizes = np.unique(self.comp, return_counts=True)
+            self.rows, self.cols = np.flatnonzero(self.comp != names[sizes.argmax()]), np.arange(n)
+
+    def open(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members of other components that may be similar to member i and share no earlier band with it, and their estimates."""
+        cols = self.cols[self.comp[self.cols] != self.comp[i]]
+        est = estimated(self.sig[i], self.sig[cols])
+        likely = est >= self.least
+        cols, est = cols[likely], est[likely]
+        first = (self.bands[cols, : self.band] == self.bands[i, : self.band]).any(1)
+        return cols[~first], est[~first]
+
+
+def _involved(least: float):
+    """The members that have someone to be compared with."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep = table.column("rep").to_numpy()
-        comp = table.column("comp").to_numpy()
-        side = table.column("side").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), U).reshape(len(rep), -1)
-        order = np.argsort(rep, kind="stable")
-        rep, comp, side, sig = rep[order], comp[order], side[order], sig[order]
-        if (side == 0).any() and (side == 1).any():
-            rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        else:
-            rows = cols = np.arange(len(rep))
-        found_a, found_b = [], []
-        if len(np.unique(comp)) > 1:
-            sizes = dict(zip(*(x.tolist() for x in np.unique(comp, return_counts=True)), strict=True))
-            largest = max(sizes, key=lambda c: (sizes[c], -c))
-            for i in rows.tolist() if rows is not cols else np.flatnonzero(comp != largest).tolist():
-                est = estimated(sig[i], sig[cols])
-                ok = np.flatnonzero((est >= least) & (comp[cols] != comp[i]))
-                if nearest is not None and len(ok) > nearest:
-                    ok = ok[np.argsort(-est[ok], kind="stable")[:nearest]]
-                found_a.append(np.full(len(ok), rep[i]))
-                found_b.append(rep[cols][ok])
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        held = _Bucket(table, least)
+        hit = np.zeros(len(held.rep), bool)
+        for i in held.rows.tolist():
+            cols, _ = held.open(i)
+            if len(cols):
+                hit[i] = True
+                hit[cols] = True
+        keep = np.zeros(len(hit), bool)
+        keep[held.order[hit]] = True
+        return table.filter(pa.array(keep))
+
+    return run
+
+
+def _settled(least: float, percent: int):
+    """Links between components within a bucket, by full sets; what a link joins isn't compared further."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held = _Bucket(table, least)
+        raw = table.column("set").to_pylist()
+        sets = [np.frombuffer(raw[k], U) for k in held.order.tolist()]
+        sizes = np.array([len(x) for x in sets])
+        found: list[tuple[int, int]] = []
+        for i in held.rows.tolist():
+            cols, est = held.open(i)
+            cols = cols[np.argsort(-est, kind="stable")]
+            step = 8
+            while len(cols):
+                now, cols = cols[:step], cols[step:]
+                flat = np.concatenate([sets[k] for k in now.tolist()])
+                at = np.searchsorted(sets[i], flat)
+                at[at == len(sets[i])] = 0
+                both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(sizes[now]) - sizes[now])
+                for k in now[100 * both >= percent * (sizes[i] + sizes[now] - both)].tolist():
+                    if held.comp[k] != held.comp[i]:
+                        found.append((int(held.rep[i]), int(held.rep[k])))
+                        held.comp[held.comp == held.comp[k]] = held.comp[i]
+                cols = cols[held.comp[cols] != held.comp[i]]
+                step = min(256, 4 * step)
+        return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
     return run
 
@@ -171,8 +213,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
 
     Equal sets are one class; classes that share a band are candidates; b-bit estimates weed out; full sets
     decide. In each bucket all classes are compared with the least one first; buckets that then still hold
-    several components compare those with each other, nearest first and then all, so that no link between
-    components is missed that the bands show. No pairs are made of members of one component or of copies.
+    several components compare these with each other inside one task (chunk by chunk if they are large), the
+    most similar first, so that no link between components is missed that the bands show. That task returns
+    links, not pairs; members of one component and copies aren't compared.
 
     Empty or null text and text without words: n_shingles 0, a group of its own. Null ids take no part:
     component_id null, kept true. Rows that share an id are one node with several sets; links of each
@@ -184,11 +227,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
     base = written(docs.mapInArrow(_base(width), "id long, n long, h1 long, h2 long, bands array<long>, sig binary"), "minhash")
     sets = base.filter("n > 0 and id is not null")
     reps = written(sets.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
-    keys = reps.select("rep", F.explode("bands").alias("key"))
+    keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     hubs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("hub")).filter("m > 1")
     members = written(keys.join(hubs, "key"), "buckets")
     some = members.select("rep").distinct()
-    small = written(reps.join(some, "rep", "left_semi").select("rep", "sig"), "sigs")
+    small = written(reps.join(some, "rep", "left_semi").select("rep", "sig", "bands"), "sigs")
     texts = docs.join(some.withColumnRenamed("rep", "id"), "id", "left_semi")
     held = written(texts.mapInArrow(_sets(width), "rep long, set binary").filter(F.length("set") > 0), "sets")
 
@@ -209,19 +252,18 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
         return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
     links = confirmed(likely(members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()), "links")
-    for nearest in (NEAREST, None):
-        labels = components(links)
-        now = members.join(labels, "rep", "left").select("key", "rep", "m", F.coalesce("comp", "rep").alias("comp"))
-        split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        open_ = now.join(split, "key").join(small, "rep")
-        c = F.ceil(F.col("m") / CHUNK).cast("int")
-        chunked = open_.withColumn("c", c).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        placed = chunked.select(
-            "key", "rep", "comp", "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), F.lit(2)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side")
-        )
-        pairs = placed.groupBy("key", "i", "j").applyInArrow(_proposals(least, nearest), "a long, b long").filter("a <> b").distinct()
-        more = confirmed(pairs, "links")
-        links = written(links.unionByName(more), "links")
+    labels = components(links)
+    now = members.join(labels, "rep", "left").select("key", "band", "rep", "m", F.coalesce("comp", "rep").alias("comp"))
+    split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    chunked = now.join(split, "key").withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("c")).cast("int"))
+    placed = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select(
+        "key", "band", "rep", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), F.lit(2)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side")
+    )
+    columns = "key long, band int, rep long, comp long, i int, j int, side int, sig binary, bands array<long>"
+    compared = placed.join(small, "rep").select(*[x.split()[0] for x in columns.split(", ")])
+    involved = written(compared.groupBy("key", "i", "j").applyInArrow(_involved(least), columns), "open")
+    more = involved.join(held, "rep").groupBy("key", "i", "j").applyInArrow(_settled(least, percent), "a long, b long")
+    links = written(links.unionByName(more), "links")
     labels = components(links)
     classes = reps.select("h1", "h2", "n", "rep").join(labels, "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp"))
     own = base.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
