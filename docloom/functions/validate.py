@@ -446,7 +446,7 @@ def is_ip_range(value: Text, version: int | None = None) -> Column:
     address, prefix = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
     shape = (F.size(parts) == 2) & prefix.rlike("^([0-9]|[1-9][0-9]{1,2})$")
     most = F.lit(32) if version == 4 else F.lit(128) if version == 6 else F.when(is_ip(address, 4), F.lit(32)).otherwise(F.lit(128))
-    return _sure(F.coalesce(shape, F.lit(False)) & v.isNotNull(), is_ip(address, version) & (prefix.try_cast("int") <= most))
+    return F.when(v.isNotNull(), _sure(F.coalesce(shape, F.lit(False)), is_ip(address, version) & (prefix.try_cast("int") <= most)))
 
 
 def is_fqdn(value: Text, require_tld: bool = True, underscores: bool = False, trailing_dot: bool = False, numeric_tld: bool = False, wildcard: bool = False) -> Column:
