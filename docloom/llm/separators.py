@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import scratch_path, written
 from docloom.llm.files import Whole, size, span
-from docloom.llm.tokenfiles import in_order, tokenized
+from docloom.llm.tokenfiles import tokenized
 
 #: Ids of a block, the unit of scanning.
 BLOCK_IDS = 1 << 20
@@ -21,7 +21,7 @@ FILE_IDS = 1 << 25
 
 
 def write_flat(rows: DataFrame, folder: str, dtype: str = "<u2", file_ids: int = FILE_IDS) -> DataFrame:
-    """Writes in_order() rows (id, ids with a separator at the end) to files of ids and nothing else.
+    """Writes rows (id, ids with a separator at the end) to files of ids and nothing else; each task its own files, in its rows' order.
 
     Returns (path, ordinal, doc_id): which document is the n-th of a file, a list kept beside the files.
     """
@@ -89,12 +89,12 @@ def count_flat(paths: DataFrame, separator: int, dtype: str = "<u2", block_ids:
 
 
 def count_tokens(documents: DataFrame, tokenizer: str, separator: int, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2", folder: str | None = None, block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS) -> DataFrame:
-    """Writes flat files of the documents' ids, each with the separator at its end, and counts them by scanning.
+    """Writes flat files of the documents' ids, each with the separator at its end, and counts them by scanning. Ids aren't shuffled.
 
     Returns per document doc_id and n_tokens (with the separator). Null and empty texts have the separator
     alone. Null ids and rows that share an id are documents of their own. Other columns aren't read.
     """
     folder = folder or scratch_path(documents.sparkSession, "flat")
-    order = write_flat(in_order(tokenized(documents, tokenizer, separator, id_col, text_col, dtype)), folder, dtype, file_ids)
+    order = write_flat(tokenized(documents, tokenizer, separator, id_col, text_col, dtype), folder, dtype, file_ids)
     counted = count_flat(order, separator, dtype, block_ids)
     return order.join(counted, ["path", "ordinal"]).select("doc_id", "n_tokens")
