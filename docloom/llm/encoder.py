@@ -42,7 +42,7 @@ class Encoder:
     U+0250 on, or control characters, go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +51,7 @@ class Encoder:
         held = getattr(self.tokenizer.pre_tokenizer, "__class__", type(None)).__name__
         self.cuts = held == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.classes = _classes()
-        self.cache = Cache(REMEMBERED)
+        self.cache = Cache(remembered)
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -129,11 +129,11 @@ class Encoder:
         return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-_HELD: dict[str, Encoder] = {}
+_HELD: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder for each Python worker."""
-    if path not in _HELD:
-        _HELD[path] = Encoder(path)
-    return _HELD[path]
+    if (path, remembered) not in _HELD:
+        _HELD[path, remembered] = Encoder(path, remembered)
+    return _HELD[path, remembered]

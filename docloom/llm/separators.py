@@ -14,6 +14,8 @@ from docloom.llm.common import scratch_path, written
 from docloom.llm.files import Whole, size, span
 from docloom.llm.tokenfiles import tokenized
 
+#: Pre-tokens that a worker remembers here: fewer than elsewhere, as writers and scanners share its memory.
+REMEMBERED = 1_000_000
 #: Ids of a block, the unit of scanning.
 BLOCK_IDS = 1 << 20
 #: Ids after which a task begins a new flat file.
@@ -95,6 +97,6 @@ def count_tokens(documents: DataFrame, tokenizer: str, separator: int, id_col: s
     alone. Null ids and rows that share an id are documents of their own. Other columns aren't read.
     """
     folder = folder or scratch_path(documents.sparkSession, "flat")
-    order = write_flat(tokenized(documents, tokenizer, separator, id_col, text_col, dtype), folder, dtype, file_ids)
+    order = write_flat(tokenized(documents, tokenizer, separator, id_col, text_col, dtype, REMEMBERED), folder, dtype, file_ids)
     counted = count_flat(order, separator, dtype, block_ids)
     return order.join(counted, ["path", "ordinal"]).select("doc_id", "n_tokens")

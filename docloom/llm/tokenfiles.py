@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import U, pieces, scratch_path, shuffle_partitions, written
-from docloom.llm.encoder import encoder
+from docloom.llm.encoder import REMEMBERED, encoder
 from docloom.llm.files import Whole, size, span
 
 MAGIC = b"DLEF0001"
@@ -137,12 +137,12 @@ class _Writer:
         return self.path, len(self.ends), self.total
 
 
-def tokenized(documents: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2") -> DataFrame:
+def tokenized(documents: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2", remembered: int = REMEMBERED) -> DataFrame:
     """(id, ids, tie): the binary ids of each whole text (null: empty), with end_id behind them; no shuffle."""
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, remembered)
         for batch in batches:
             for part, data, at in pieces(batch, "text"):
                 ids, of = encode(data, at)
