@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import U, mixed, pieces, shingles, written
+from docloom.llm.common import U, mixed, pieces, shingles, tidy, written
 
 #: 32 bands of 5 rows: a pair of similarity 0.8 shares no band with probability 0.000003.
 BANDS, ROWS = 32, 5
@@ -224,7 +224,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
     percent = round(similarity * 100)
     least = similarity - SLACK
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = written(docs.mapInArrow(_base(width), "id long, n long, h1 long, h2 long, bands array<long>, sig binary"), "minhash")
+    base = written(docs.mapInArrow(tidy(_base(width)), "id long, n long, h1 long, h2 long, bands array<long>, sig binary"), "minhash")
     sets = base.filter("n > 0 and id is not null")
     reps = written(sets.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
     keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -233,12 +233,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
     some = members.select("rep").distinct()
     small = written(reps.join(some, "rep", "left_semi").select("rep", "sig", "bands"), "sigs")
     texts = docs.join(some.withColumnRenamed("rep", "id"), "id", "left_semi")
-    held = written(texts.mapInArrow(_sets(width), "rep long, set binary").filter(F.length("set") > 0), "sets")
+    held = written(texts.mapInArrow(tidy(_sets(width)), "rep long, set binary").filter(F.length("set") > 0), "sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         one, other = held.select(F.col("rep").alias("a"), F.col("set").alias("left")), held.select(F.col("rep").alias("b"), F.col("set").alias("right"))
         joined = pairs.join(one, "a").join(other, "b").select("a", "b", "left", "right")
-        return written(joined.mapInArrow(_confirm(percent), "a long, b long").distinct(), name)
+        return written(joined.mapInArrow(tidy(_confirm(percent)), "a long, b long").distinct(), name)
 
     def likely(pairs: DataFrame) -> DataFrame:
         one, other = small.select(F.col("rep").alias("a"), F.col("sig").alias("x")), small.select(F.col("rep").alias("b"), F.col("sig").alias("y"))
@@ -249,7 +249,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), U).reshape(n, -1) if n else np.zeros((0, 1), U) for i in (2, 3))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(estimated(x, y) >= least))
 
-        return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
     links = confirmed(likely(members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()), "links")
     labels = components(links)

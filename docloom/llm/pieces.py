@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Cache, Rolling, U, pieces, ragged
+from docloom.llm.common import Cache, Rolling, U, pieces, ragged, tidy
 
 _MARK = 0x2581
 #: A mark that stands in the text itself; no piece has it, so it is written as bytes and read back as it was.
@@ -223,7 +223,7 @@ def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                     ["doc_id", "n_ids", "ids", "ids_crc32", "round_trip"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_ids long, ids binary, ids_crc32 long, round_trip boolean")
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_ids long, ids binary, ids_crc32 long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
@@ -241,4 +241,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", id_col: str = "d
             texts = [None if x is None else raw[a:b].decode() for x, a, b in zip(own, at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACE, Rolling, U, mixed, pieces, word_spans
+from docloom.llm.common import SPACE, Rolling, U, mixed, pieces, tidy, word_spans
 
 CONTENT, BOILERPLATE = 0, 1
 #: The field is fitted on so many labelled documents at most (chosen by a hash of their ids), of each at most the
@@ -246,7 +246,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 own = [got.features[a:b][:TRAIN_LINES].astype("<f8").tobytes() for a, b in zip(got.line_of[:-1].tolist(), got.line_of[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(own, pa.binary())], ["id", "y", "lines"])
 
-    got = rows.mapInArrow(lines, "id long, y int, lines binary").collect()
+    got = rows.mapInArrow(tidy(lines), "id long, y int, lines binary").collect()
     got.sort(key=lambda r: (r.id, bytes(r.lines)))
     return fitted([(np.frombuffer(r.lines, "<f8").reshape(-1, len(FEATURES)), CONTENT if r.y else BOILERPLATE) for r in got])
 
@@ -276,7 +276,7 @@ def rate(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col: s
             for part, data, at in pieces(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), *judged(data, at, field)], ["doc_id", *(x.split()[0] for x in COLUMNS.split(", "))])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
 
 
 def keep_good(documents: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
@@ -288,4 +288,4 @@ def keep_good(documents: DataFrame, field: Field, text_col: str = "text") -> Dat
             for part, data, at in pieces(batch, text_col):
                 yield part.filter(judged(data, at, field)[-1])
 
-    return documents.mapInArrow(run, documents.schema).select(*[f"`{n}`" for n in names])
+    return documents.mapInArrow(tidy(run), documents.schema).select(*[f"`{n}`" for n in names])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import Rolling, U, mixed, pieces, released, shuffle_partitions, written
+from docloom.llm.common import Rolling, U, mixed, pieces, released, shuffle_partitions, tidy, written
 
 #: Bytes of the grams among which each window's anchor is chosen.
 GRAM = 50
@@ -308,7 +308,7 @@ def repeated_spans(documents: DataFrame, length: int = 200, id_col: str = "doc_i
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.select("id", F.xxhash64("id", "text").alias("tie"), "text")
-    rows = docs.mapInArrow(_anchor_rows(length, gram), "id long, tie long, a long, n long, place long")
+    rows = docs.mapInArrow(tidy(_anchor_rows(length, gram)), "id long, tie long, a long, n long, place long")
     often = rows.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi")).filter("m > 1")
     twice = written(rows.join(often, "a").select("id", "tie", "a", "n", "place", "m", (F.col("lo") < F.col("hi")).alias("several")), "anchors")
     released(spark)
@@ -320,8 +320,8 @@ def repeated_spans(documents: DataFrame, length: int = 200, id_col: str = "doc_i
     asked = runs.groupBy("one.id", "one.tie").agg(F.collect_list(F.struct("a", F.col("one.place").alias("place"), "c", (F.col("m") > HOT).alias("hot"))).alias("asked"))
     to_cut = docs.join(asked, docs["id"].eqNullSafe(asked["id"]) & (docs["tie"] == asked["tie"])).select(docs["id"], docs["tie"], "text", "asked")
     n = max(shuffle_partitions(spark), -(-runs.count() // TASK_STRETCHES))
-    stretches = to_cut.mapInArrow(_stretches(length), "key long, id long, tie long, start long, known boolean, bytes binary")
-    decided = stretches.repartition(n, "key").mapInArrow(_matches(length), "id long, tie long, s long, e long")
+    stretches = to_cut.mapInArrow(tidy(_stretches(length)), "key long, id long, tie long, start long, known boolean, bytes binary")
+    decided = stretches.repartition(n, "key").mapInArrow(tidy(_matches(length)), "id long, tie long, s long, e long")
     found = written(decided, "matches")
     released(spark)
     spans = whole.unionByName(again).unionByName(found).groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
@@ -340,7 +340,7 @@ def deduplicate(documents: DataFrame, length: int = 200, id_col: str = "doc_id",
     shorter than `length` lose nothing; repeated rows and null ids are documents like others (of two equal
     long rows both lose everything). Other columns aren't read. An empty table gives an empty result.
     """
-    return _joined(documents, length, id_col, text_col).mapInArrow(_removed(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _joined(documents, length, id_col, text_col).mapInArrow(tidy(_removed()), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,18 +356,21 @@ def without_repeats(documents: DataFrame, length: int = 200, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, keep = [], []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if own:
-                    raw, at, left = text.encode(), 0, []
+            for part, data, at in pieces(batch, "text"):
+                text, out, keep = part.column(1), [], []
+                for i, own in enumerate(part.column(2).to_pylist()):
+                    if not own:
+                        out.append(text[i].as_py())
+                        keep.append(True)
+                        continue
+                    raw, end, left = data[at[i] : at[i + 1]].tobytes(), 0, []
                     for s, e in merged([(x["s"], x["e"]) for x in own]):
-                        left.append(raw[at:s].decode("utf-8", "ignore"))
-                        at = e
-                    left.append(raw[at:].decode("utf-8", "ignore"))
-                    text = "".join(left)
-                out.append(text)
-                keep.append(not own or bool(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"]).filter(pa.array(keep, pa.bool_()))
-
-    new = joined.mapInArrow(run, T.StructType([joined.schema["row"], T.StructField("text", T.StringType())]))
+                        left.append(raw[end:s].decode("utf-8", "ignore"))
+                        end = e
+                    left.append(raw[end:].decode("utf-8", "ignore"))
+                    out.append("".join(left))
+                    keep.append(bool(out[-1]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], ["row", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    new = joined.mapInArrow(tidy(run), T.StructType([joined.schema["row"], T.StructField("text", T.StringType())]))
     return new.select(*[(F.col("text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in columns])
