@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import convert as C
+from docloom.functions import html as H
 from docloom.functions import urlquery as Q
 from docloom.functions import validate as V
 from docloom.operators.graph import Graph
@@ -436,6 +437,42 @@ def graph_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Graph(order.select("graph_id", "v"), e.withColumn("name", F.lit(None).cast("string"))).crossings(order)
 
 
+_COUNTED = "a article body br div footer h1 head html li meta nav p script style title ul".split()
+_OUTSIDE = "regexp_replace(html, '<!--.*?-->|(<script[^>]*>).*?</script>', '\\1', 'gs')"
+
+
+@query(" UNION ALL ".join(f"SELECT page_id, '{t}' AS name, len(regexp_extract_all({_OUTSIDE}, '<{t}[ >/]'))::BIGINT AS n FROM pages WHERE len(regexp_extract_all({_OUTSIDE}, '<{t}[ >/]')) > 0" for t in _COUNTED))
+def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = H.node_table(_read(spark, sf_dir, "pages"), "html", "page_id").filter(F.col("name").isin(_COUNTED))
+    return rows.groupBy("page_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = H.node_table(_read(spark, sf_dir, "pages"), "html", "page_id")
+    return rows.withColumn("attrs", F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " "))
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", H.text("html").alias("text"))
+
+
+@query()
+def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", H.markdown("html", remove=("head", "script", "style"), gfm=True).alias("markdown"))
+
+
+@query()
+def sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", H.sanitized("html").alias("html"))
+
+
+@query()
+def qs_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", H.query_json(Q.query_part("url")).alias("query"))
+
+
 def _checkpoints(spark: SparkSession) -> None:
     """Checkpoints go to the folder the cluster names; only where it names none, as in tests, to a local one."""
     ctx = spark.sparkContext
