@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import addresses as A
 from docloom.functions import convert as C
 from docloom.functions import html as H
 from docloom.functions import urlquery as Q
@@ -447,6 +448,23 @@ def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("page_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def validate_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = {"is_url": A.is_url("value"), "is_email": A.is_email("value"), "is_json": A.is_json("value"), "is_iso8601": A.is_iso8601("value"), "is_iso8601_strict": A.is_iso8601("value", strict=True)}
+    return samples(spark, sf_dir).select("value", *[c.alias(n) for n, c in own.items()])
+
+
+@query("SELECT event_id, ts > TIMESTAMP '2024-01-15' AS is_after, ts < TIMESTAMP '2024-01-15' AS is_before FROM events")
+def validate_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return _read(spark, sf_dir, "events").select("event_id", A.is_after(at, "2024-01-15").alias("is_after"), A.is_before(at, "2024-01-15").alias("is_before"))
+
+
+@query("SELECT event_id, json_valid(props) AND json_type(props) IN ('OBJECT', 'ARRAY') AS is_json FROM events")
+def validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select("event_id", A.is_json("props").alias("is_json"))
+
+
 @query()
 def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = H.node_table(_read(spark, sf_dir, "pages"), "html", "page_id")
