@@ -40,20 +40,20 @@ UNION SELECT replace(replace(url, 'https://', ''), 'http://', '') FROM {pages}
 UNION SELECT props FROM {events}
 UNION SELECT event_type FROM {events}
 UNION SELECT lang FROM {documents}
-UNION SELECT substring(text, 1, 12) FROM {documents}
-UNION SELECT substring(text, 1, 60) FROM {conversations}
+UNION SELECT text FROM {documents}
+UNION SELECT text FROM {conversations}
 UNION SELECT p_brand FROM {part} UNION SELECT p_type FROM {part} UNION SELECT p_name FROM {part}
 UNION SELECT CAST(p_size AS STRING) FROM {part}
 UNION SELECT CAST(o_orderkey AS STRING) FROM {orders}
-UNION SELECT lpad(CAST(o_orderkey * 7919 AS STRING), 8, '4') FROM {orders} WHERE o_orderkey < 6000
-UNION SELECT lpad(CAST(o_orderkey * 7919 AS STRING), 9, '0') FROM {orders} WHERE o_orderkey < 6000
-UNION SELECT lpad(CAST(o_orderkey * 104729 AS STRING), 10, '0') FROM {orders} WHERE o_orderkey < 6000
-UNION SELECT lpad(CAST(o_orderkey * 104729 AS STRING), 13, '978') FROM {orders} WHERE o_orderkey < 6000
-UNION SELECT lpad(CAST(o_orderkey * 104729 AS STRING), 14, '1') FROM {orders} WHERE o_orderkey < 6000
-UNION SELECT lpad(CAST(o_orderkey * 104729 AS STRING), 15, '35') FROM {orders} WHERE o_orderkey < 6000
-UNION SELECT lpad(CAST(o_orderkey * 104729 AS STRING), 16, '4') FROM {orders} WHERE o_orderkey < 6000
-UNION SELECT concat('CSQU', lpad(CAST(o_orderkey * 79 AS STRING), 7, '3')) FROM {orders} WHERE o_orderkey < 6000
-UNION SELECT concat('US', lpad(CAST(o_orderkey * 7919 AS STRING), 10, '0')) FROM {orders} WHERE o_orderkey < 6000
+UNION SELECT lpad(CAST(o_orderkey * 7919 AS STRING), 8, '4') FROM {orders}
+UNION SELECT lpad(CAST(o_orderkey * 7919 AS STRING), 9, '0') FROM {orders}
+UNION SELECT lpad(CAST(o_orderkey * 104729 AS STRING), 10, '0') FROM {orders}
+UNION SELECT lpad(CAST(o_orderkey * 104729 AS STRING), 13, '978') FROM {orders}
+UNION SELECT lpad(CAST(o_orderkey * 104729 AS STRING), 14, '1') FROM {orders}
+UNION SELECT lpad(CAST(o_orderkey * 104729 AS STRING), 15, '35') FROM {orders}
+UNION SELECT lpad(CAST(o_orderkey * 104729 AS STRING), 16, '4') FROM {orders}
+UNION SELECT concat('CSQU', lpad(CAST(o_orderkey * 79 AS STRING), 7, '3')) FROM {orders}
+UNION SELECT concat('US', lpad(CAST(o_orderkey * 7919 AS STRING), 10, '0')) FROM {orders}
 UNION SELECT concat(lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0'), '-', lpad(CAST(o_orderkey * 31 % 10000 AS STRING), 4, '0')) FROM {orders}
 UNION SELECT concat(CAST(c_custkey % 300 AS STRING), '.', CAST(c_custkey % 7 AS STRING), '.0.', CAST(c_custkey % 256 AS STRING)) FROM {customer}
 UNION SELECT concat('10.0.', CAST(c_custkey % 256 AS STRING), '.0/', CAST(c_custkey % 40 AS STRING)) FROM {customer}
