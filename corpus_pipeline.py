@@ -16,10 +16,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; documents without an id stay."""
-    groups = minhash.near_duplicates(docs, width=5, similarity=0.8)
-    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """Of each group of near-duplicates the row with the smallest id, null ids last; rows that share an id are documents of their own."""
+    columns = docs.columns
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    groups = minhash.near_duplicates(rows, width=5, similarity=0.8, id_col="_row")
+    # equal ids go by a hash of the row, equal rows by their place
+    own = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*[f"`{c}`" for c in columns]).alias("tie"), "_row").alias("at"))
+    members = written(groups.select(F.col("doc_id").alias("_row"), "component_id").join(own, "_row"), "near-groups")
+    first = members.groupBy("component_id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = members.join(first, "component_id").filter(F.col("at._row") != F.col("first._row")).select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*[f"`{c}`" for c in columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

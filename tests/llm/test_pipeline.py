@@ -41,3 +41,16 @@ def test_held_out_labels(spark):
     good = [r.kept for r in rows if r.quality == 1]
     bad = [r.kept for r in rows if r.quality == 0]
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, copies without an id and a unique text under a copy's id, through stages 2 and 3."""
+    text = lambda k: " ".join(f"w{k}x{i * i % 997}" for i in range(80))
+    rows = [(7, text(1), "a"), (7, text(1), "a"), (None, text(2), "a"), (None, text(2), "b"), (None, text(2), "b"), (3, text(3), "a"), (9, text(3), "a"), (9, text(4), "a"), (5, "", "a"), (5, "", "a"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    near = corpus_pipeline.near_duplicates(spark, docs, SF).cache()
+    assert near.columns == docs.columns
+    left = sorted(((r.doc_id or 0, r.text or "") for r in near.collect()))
+    assert left == sorted([(7, text(1)), (0, text(2)), (3, text(3)), (9, text(4)), (5, ""), (5, ""), (0, "")])
+    out = corpus_pipeline.repeated_passages(spark, near, SF).collect()
+    assert sorted(r.text for r in out if r.text) == sorted(text(k) for k in (1, 2, 3, 4))
