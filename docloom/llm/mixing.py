@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import WORD, shuffle_partitions, written
 
-#: A mix names its sources; more than this is taken for a mistake (for instance an id given as the source).
+#: Targets of up to this many sources are computed by the driver, of more by windows over a table of sources.
 MOST_SOURCES = 100_000
 #: Documents of one source are summed up in parts of about this many.
 PART_ROWS = 50_000
@@ -35,7 +35,24 @@ def shared_out(sizes: list[int], weights: list[float], budget: float, most: floa
     return out
 
 
-def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def shared_out_table(sums: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
+    """shared_out() by windows: (source, size) to source, source_rank, source_size, target. One row per source goes through one task."""
+    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
+    given = F.array(*[F.lit(float(w)) for w in weights])
+    ranked = sums.select("source", F.col("size").alias("source_size"), (F.row_number().over(order) - 1).alias("source_rank"))
+    ranked = ranked.withColumn("weight", F.element_at(given, (F.col("source_rank") % len(weights) + 1).cast("int"))).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
+    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "source_rank")
+    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = F.lit(float(budget)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+    shares = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    # the level of the first source whose cap is above it holds for all after it
+    levels = ranked.withColumn("level", F.when(F.col("cap") / F.col("weight") > left / shares, left / shares))
+    level = F.first("level", ignorenulls=True).over(by_cap.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return levels.select("source", "source_rank", "source_size", F.when(level.isNull(), F.col("cap")).otherwise(level * F.col("weight")).alias("target"))
+
+
+def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_cols: tuple[str, ...] = ()) -> DataFrame:
     """How much of each document the mix takes: doc_id, source, size, source_size, target, taken.
 
     Size is the number of words (null text: 0). Sources in order of their code points, null last, get the
@@ -45,23 +62,29 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     taken stay within the budget. Documents are taken whole, so a source ends within one document of its
     target. Documents of size 0 aren't queued (taken 0). Ties in time go by source, hash and id; repeated rows
     are documents of their own; null ids queue like others; an empty table gives an empty result. Nothing but
-    one row per source and one per sort partition reaches the driver. Other columns aren't read.
+    one row per source (of at most MOST_SOURCES) and one per sort partition reaches the driver. Other columns
+    aren't read, but for row_cols: these order equal rows and stand in the result.
     """
     spark = documents.sparkSession
     base = documents.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size")
+        *row_cols,
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
     )
     base = written(base.withColumn("turn", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")).cast("binary"))), "mix-sizes")
-    sums = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    by_source = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    sums = by_source.limit(MOST_SOURCES + 1).collect()
     if len(sums) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sums.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    total, rows = sum(r.size for r in sums), sum(r.n for r in sums)
-    budget = share * total
-    targets = shared_out([r.size for r in sums], [weights[i % len(weights)] for i in range(len(sums))], budget, most)
-    table = spark.createDataFrame([(r.source, i, r.size, float(t)) for i, (r, t) in enumerate(zip(sums, targets, strict=True))], "source string, source_rank int, source_size long, target double")
-    # one row per source, at most MOST_SOURCES
-    docs = base.join(F.broadcast(table), base["source"].eqNullSafe(table["source"])).drop(table["source"])
+        by_source = written(by_source, "mix-sources")
+        total, rows = by_source.agg(F.sum("size"), F.sum("n")).first()
+        budget = share * total
+        table = written(shared_out_table(by_source, weights, budget, most), "mix-targets")
+    else:
+        sums.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
+        total, rows = sum(r.size for r in sums), sum(r.n for r in sums)
+        budget = share * total
+        targets = shared_out([r.size for r in sums], [weights[i % len(weights)] for i in range(len(sums))], budget, most)
+        table = F.broadcast(spark.createDataFrame([(r.source, i, r.size, float(t)) for i, (r, t) in enumerate(zip(sums, targets, strict=True))], "source string, source_rank int, source_size long, target double"))
+    docs = base.join(table, base["source"].eqNullSafe(table["source"])).drop(table["source"])
     digits = 1
     while rows / 16**digits > PART_ROWS:
         digits += 1
@@ -93,7 +116,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     # equal rows share what their group takes: equal parts, and one copy more for the first of them
     per_copy = whole.groupBy("doc_id", "turn", "size", "source_rank").agg(F.sum("size").alias("sum_taken"))
     same = Window.partitionBy("turn", "doc_id", "size", "source_rank")
-    numbered = docs.withColumn("_k", F.row_number().over(same.orderBy("turn"))).withColumn("_n", F.count(F.lit(1)).over(same))
+    numbered = docs.withColumn("_k", F.row_number().over(same.orderBy("turn", *row_cols))).withColumn("_n", F.count(F.lit(1)).over(same))
     out = numbered.alias("d").join(
         per_copy.alias("t"),
         F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.turn") == F.col("t.turn")) & (F.col("d.size") == F.col("t.size")) & (F.col("d.source_rank") == F.col("t.source_rank")),
@@ -101,16 +124,14 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     )
     units = F.coalesce(F.col("t.sum_taken"), F.lit(0)) / F.greatest(F.col("d.size"), F.lit(1))
     share_of = F.floor(units / F.col("d._n")) + (F.col("d._k") <= F.pmod(units, F.col("d._n"))).cast("int")
-    return out.select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", (share_of * F.col("d.size")).cast("long").alias("taken"))
+    return out.select(*[f"d.{c}" for c in row_cols], "d.doc_id", "d.source", "d.size", "d.source_size", "d.target", (share_of * F.col("d.size")).cast("long").alias("taken"))
 
 
 def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each document as often as mix() takes it, columns as they are."""
     columns = documents.columns
-    taken = mix(documents, id_col=id_col, text_col=text_col, source_col=source_col, **options).filter("taken > 0")
-    # rows with the same id, source and size share evenly
-    times = taken.groupBy("doc_id", "source", "size").agg((F.sum("taken") / (F.first("size") * F.count(F.lit(1)))).alias("times"))
-    rows = documents.withColumn("_times_size", F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"))
-    on = rows[id_col].cast("long").eqNullSafe(times["doc_id"]) & rows[source_col].cast("string").eqNullSafe(times["source"]) & (rows["_times_size"] == times["size"])
-    joined = rows.join(times, on).select(*[rows[c] for c in columns], F.ceil("times").cast("int").alias("_times"))
+    rows = written(documents.withColumns({"_mix_tie": F.xxhash64(*[f"`{c}`" for c in columns]), "_mix_row": F.monotonically_increasing_id()}), "mix-rows")
+    taken = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_cols=("_mix_tie", "_mix_row"), **options).filter("taken > 0")
+    times = taken.select("_mix_row", F.expr("int(taken div size)").alias("_times"))
+    joined = rows.join(times, "_mix_row")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[f"`{c}`" for c in columns])

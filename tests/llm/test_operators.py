@@ -395,3 +395,27 @@ def test_extraction(spark):
     assert extraction.extract(df.limit(0)).count() == 0
     article = "<body><p>before it all</p><article class='main'><header><h1>H</h1></header><p>One two three four five.</p><aside>no</aside></article></body>"
     assert extraction.main_text(article) == "H\nOne two three four five."
+
+
+def test_mix_by_row(spark):
+    """Of rows with one id, source and size, or with no id, each comes as often as the mix takes it."""
+    rows = [(None, f"a{i} b{i}", "s") for i in range(7)] + [(4, f"c{i} d{i} e{i}", "t") for i in range(3)] + [(5, "f g h", "u")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(docs, share=0.6).collect()
+    want, units = collections.Counter(), collections.Counter()
+    for r in got:
+        want[r.doc_id, r.source] += r.taken // r.size
+    copies = mixing.mixed_documents(docs, share=0.6).collect()
+    for r in copies:
+        units[r.doc_id, r.source] += 1
+    assert units == +want and 0 < len(copies) < len(rows)
+    assert sum(len(r.text.split()) for r in copies) <= 0.6 * sum(len(t.split()) for _, t, _ in rows)
+
+
+def test_targets_of_many_sources(spark, docs, monkeypatch):
+    order = lambda df: sorted(df.collect(), key=repr)
+    few = order(mixing.mix(docs))
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    many = order(mixing.mix(docs))
+    assert [(r.doc_id, r.source, r.size, r.taken) for r in few] == [(r.doc_id, r.source, r.size, r.taken) for r in many]
+    assert [r.target for r in many] == pytest.approx([r.target for r in few])
