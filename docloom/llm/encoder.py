@@ -7,7 +7,7 @@ import unicodedata
 
 import numpy as np
 
-from docloom.llm.common import Cache, Rolling, U, ragged
+from docloom.llm.common import Cache, Spans, ragged
 
 #: Pre-tokens that a worker remembers; beyond them it forgets all and starts again.
 REMEMBERED = 3_000_000
@@ -39,15 +39,19 @@ class Encoder:
     The pre-tokenizer of a byte-level vocabulary (pattern: contractions, letters, numbers or other characters
     with a space before them, white space) cuts texts where character classes change; that is done on the
     bytes of a whole block. Each distinct pre-token is encoded once by the library. Texts with characters from
-    U+0250 on, or control characters, go to the library whole.
+    U+0250 on, control characters or an added token (<|endoftext|>) go to the library whole.
+
+    special_as_text: added tokens in a text are spelled like other text, so that no text gives their ids.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        #: Texts that hold one of these go to the library whole, which cuts them there first.
+        self.added = [] if special_as_text else [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         held = getattr(self.tokenizer.pre_tokenizer, "__class__", type(None)).__name__
         self.cuts = held == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.classes = _classes()
@@ -67,7 +71,8 @@ class Encoder:
         code = ((data[lead].astype(np.int64) & 0x1F) << 6) | (data[lead + 1] & 0x3F)
         kind[lead] = kind[lead + 1] = np.where(code < 0x250, self.classes[np.minimum(code, 0x24F)], 255)
         odd = np.flatnonzero(kind[:n] == 255)
-        odd_texts = np.unique(np.searchsorted(at, odd, "right") - 1)
+        odd = [odd, *(self._places(data, x) for x in self.added)]
+        odd_texts = np.unique(np.searchsorted(at, np.concatenate(odd), "right") - 1)
         first = np.zeros(n + 1, bool)
         first[1:n] = kind[1:n] != kind[: n - 1]
         first[at[:-1][at[:-1] < n]] = True
@@ -101,6 +106,13 @@ class Encoder:
                 starts[ends[ends < n]] = True
         return np.flatnonzero(starts[:n]), odd_texts
 
+    @staticmethod
+    def _places(data: np.ndarray, token: bytes) -> np.ndarray:
+        raw, found, i = data.tobytes(), [], -1
+        while (i := raw.find(token, i + 1)) >= 0:
+            found.append(i)
+        return np.array(found, np.int64)
+
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the offsets of each text's."""
         n = len(at) - 1
@@ -110,13 +122,12 @@ class Encoder:
             return np.concatenate([np.zeros(0, np.uint32), *own]), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
         start, odd = self._starts(data, at)
         end = np.append(start[1:], len(data))
-        keys = Rolling(data)(start, end) if len(start) else np.zeros(0, U)
         if len(odd):
             skip = np.zeros(n + 1, bool)
             skip[odd] = True
             keep = ~skip[np.searchsorted(at, start, "right") - 1]
-            start, end, keys = start[keep], end[keep], keys[keep]
-        found = self.cache.find(keys, lambda new: self.library([raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]))
+            start, end = start[keep], end[keep]
+        found = self.cache.find(Spans(data, start, end), lambda new: self.library([raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]))
         ids, total = ragged(self.cache.flat, *found)
         offsets = total[np.searchsorted(start, at)] if len(start) else np.zeros(n + 1, np.int64)
         if not len(odd):
@@ -129,11 +140,12 @@ class Encoder:
         return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-_HELD: dict[tuple[str, int], Encoder] = {}
+_HELD: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED, special_as_text: bool = False) -> Encoder:
     """One encoder for each Python worker."""
-    if (path, remembered) not in _HELD:
-        _HELD[path, remembered] = Encoder(path, remembered)
-    return _HELD[path, remembered]
+    key = path, remembered, special_as_text
+    if key not in _HELD:
+        _HELD[key] = Encoder(*key)
+    return _HELD[key]

@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Cache, Rolling, U, pieces, ragged, tidy
+from docloom.llm.common import Cache, Rolling, Spans, U, pieces, ragged, tidy
 
 _MARK = 0x2581
 #: A mark that stands in the text itself; no piece has it, so it is written as bytes and read back as it was.
 _LITERAL = 0x110000
-#: Words longer than this are searched one at a time.
-LONG = 48
+#: Words longer than this are cut first where no piece spans the cut; the parts are searched like words.
+UNCUT = 64
+#: Scores that a search holds at once, about: words of one length advance through them a stretch of ends at a time.
+STRETCH = 1 << 20
 
 
 def default_model() -> str:
@@ -60,46 +62,82 @@ class Model:
         keys = Rolling(np.concatenate(points).astype(np.int64))(ends - lengths, ends) ^ lengths.astype(U)
         order = np.argsort(keys)
         self.keys, self.scores, self.ids = keys[order], scores[order], np.array(normal, np.uint32)[order]
-        self.sizes = sorted(set(lengths.tolist()), reverse=True)
+        self.points = np.full((len(normal), int(lengths.max())), -1, np.int32)  # a piece's characters, to compare with
+        for row, k in enumerate(order.tolist()):
+            self.points[row, : lengths[k]] = points[k]
+        self.sizes = np.array(sorted(set(lengths.tolist()), reverse=True))
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_size = np.array([len(x) for x in spelled], np.int64)
         self.spelled_at = np.cumsum(self.spelled_size) - self.spelled_size
         self.cache = Cache(most)
 
-    def _probe(self, roll: Rolling, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Score and entry of the piece at each start; minus infinity where there is none."""
+    def _probe(self, points: np.ndarray, roll: Rolling, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Score and entry of the piece at each start; minus infinity where there is none. Characters are compared on a hit."""
         keys = roll(start, start + size) ^ U(size)
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, self.scores[at], -np.inf), at
+        hit = self.keys[at] == keys
+        own = np.flatnonzero(hit)
+        for k in range(size):
+            own = own[points[start[own] + k] == self.points[at[own], k]]
+        if size < self.points.shape[1]:
+            own = own[self.points[at[own], size] == -1]
+        score = np.full(len(start), -np.inf)
+        score[own] = self.scores[at[own]]
+        return score, at
 
     def _spelled_out(self, point: int) -> list[int]:
         return [int(self.bytes[b]) for b in chr(_MARK if point == _LITERAL else point).encode()]
 
+    def cut(self, points: np.ndarray, roll: Rolling, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words points[at[i]:at[i + 1]] as parts: where each begins, and its word. No piece spans two parts, so the best segmentations of a word's parts make the word's."""
+        size = np.diff(at)
+        owner = np.repeat(np.arange(len(size)), size)
+        begins = np.zeros(len(points), bool)
+        begins[at[:-1]] = True
+        inside = np.flatnonzero((size > UNCUT)[owner]) if len(size) else np.zeros(0, np.int64)
+        if len(inside):
+            spanned = np.zeros(len(points) + 1, np.int32)
+            for length in self.sizes[self.sizes > 1].tolist():
+                own = inside[inside + length <= at[1:][owner[inside]]]
+                for part in np.split(own, range(STRETCH, len(own), STRETCH)):
+                    hit = part[self._probe(points, roll, part, length)[0] > -np.inf]
+                    spanned[hit + 1] += 1
+                    spanned[hit + length] -= 1
+            begins[inside[np.cumsum(spanned)[inside] == 0]] = True
+        begin = np.flatnonzero(begins)
+        return begin, owner[begin]
+
     def searched(self, points: np.ndarray, roll: Rolling, start: np.ndarray, size: int) -> list[np.ndarray]:
-        """Ids of words of one length, advancing together: at each end, the best of all pieces that end there."""
-        n = len(start)
-        best = np.full((n, size + 1), -np.inf)
-        best[:, 0] = 0
-        back, entry = np.zeros((n, size + 1), np.int16), np.full((n, size + 1), -1, np.int64)
-        for end in range(1, size + 1):
-            top, step, which = best[:, end - 1] + self.unknown, np.ones(n, np.int16), np.full(n, -1, np.int64)
-            beaten = np.full(n, -np.inf)
-            for length in self.sizes:  # longest first
-                if length > end:
-                    continue
-                score, at = self._probe(roll, start + end - length, length)
-                total = best[:, end - length] + score
-                better = total > beaten
-                beaten = np.where(better, total, beaten)
-                step, which = np.where(better, length, step), np.where(better, at, which)
-            none = ~(beaten > top)
-            best[:, end] = np.where(none, top, beaten)
-            back[:, end], entry[:, end] = np.where(none, 1, step), np.where(none, -1, which)
+        """Ids of words of one length, advancing together: at each end, the best of all pieces that end there.
+
+        Pieces are probed for a stretch of ends at once, so a long word takes no more memory than many short ones.
+        """
+        n, most = len(start), int(self.sizes[0])
+        best = np.full((n, most + size + 1), -np.inf)  # `most` columns stand before the words
+        best[:, most] = 0
+        back, entry = np.ones((n, size + 1), np.int16), np.full((n, size + 1), -1, np.int32)
+        stretch, each = max(1, STRETCH // (n * len(self.sizes))), np.arange(n)
+        for first in range(1, size + 1, stretch):
+            ends = np.arange(first, min(first + stretch, size + 1))
+            scores = np.full((n, len(ends), len(self.sizes)), -np.inf)
+            found = np.zeros(scores.shape, np.int32)
+            for k, length in enumerate(self.sizes.tolist()):  # longest first
+                lo = max(0, length - first)
+                if lo < len(ends):
+                    own = (start[:, None] + ends[None, lo:] - length).reshape(-1)
+                    score, at = self._probe(points, roll, own, length)
+                    scores[:, lo:, k], found[:, lo:, k] = score.reshape(n, -1), at.reshape(n, -1)
+            for j, end in enumerate(ends.tolist()):
+                total = best[:, most + end - self.sizes] + scores[:, j]
+                pick = total.argmax(1)
+                beaten, top = total[each, pick], best[:, most + end - 1] + self.unknown
+                known = beaten > top
+                best[:, most + end] = np.where(known, beaten, top)
+                back[known, end], entry[known, end] = self.sizes[pick[known]], found[known, j, pick[known]]
         out = []
-        back_rows, entry_rows, begins = back.tolist(), entry.tolist(), start.tolist()
-        for steps, entries, begin in zip(back_rows, entry_rows, begins, strict=True):
-            own, end = [], size
+        for k, begin in enumerate(start.tolist()):
+            own, end, steps, entries = [], size, back[k].tolist(), entry[k].tolist()
             while end:
                 if entries[end] < 0:
                     own.extend(reversed(self._spelled_out(int(points[begin + end - 1]))))
@@ -109,34 +147,6 @@ class Model:
             out.append(np.array(own[::-1], np.uint32))
         return out
 
-    def searched_alone(self, points: np.ndarray, roll: Rolling, start: int, size: int) -> np.ndarray:
-        """The same for one long word: all probes first, then one pass."""
-        probes = []
-        for length in self.sizes:
-            if length <= size:
-                score, at = self._probe(roll, np.arange(start, start + size - length + 1), length)
-                hit = np.flatnonzero(score > -np.inf)
-                probes.append((length, dict(zip((hit + length).tolist(), zip(score[hit].tolist(), at[hit].tolist(), strict=True), strict=True))))
-        best, back = [0.0] * (size + 1), [(1, -1)] * (size + 1)
-        for end in range(1, size + 1):
-            beaten, step = float("-inf"), (1, -1)
-            for length, held in probes:
-                if got := held.get(end):
-                    total = best[end - length] + got[0]
-                    if total > beaten:
-                        beaten, step = total, (length, got[1])
-            top = best[end - 1] + self.unknown
-            best[end], back[end] = (beaten, step) if beaten > top else (top, (1, -1))
-        own, end = [], size
-        while end:
-            length, at = back[end]
-            if at < 0:
-                own.extend(reversed(self._spelled_out(int(points[start + end - 1]))))
-            else:
-                own.append(int(self.ids[at]))
-            end -= length
-        return np.array(own[::-1], np.uint32)
-
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of UTF-8 texts one after another, and the texts' offsets."""
         n = len(at) - 1
@@ -154,23 +164,25 @@ class Model:
         first[begin] = True
         start = np.flatnonzero(first)
         size = np.diff(np.append(start, len(points)))
-        roll = Rolling(points)
+        points = points.astype("<i4")
 
         def make(new: np.ndarray) -> list[np.ndarray]:
-            out: list = [None] * len(new)
-            sizes = size[new]
-            order = np.argsort(sizes, kind="stable")
-            for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
-                length = int(sizes[group[0]])
-                if length > LONG:
-                    for k in group.tolist():
-                        out[k] = self.searched_alone(points, roll, int(start[new[k]]), length)
-                else:
-                    for k, own in zip(group.tolist(), self.searched(points, roll, start[new[group]], length), strict=True):
-                        out[k] = own
-            return out
-
-        ids, total = ragged_of(self.cache, roll(start, start + size) ^ size.astype(U), make)
+            own, at = ragged(points, start[new], size[new])  # the new words alone, one after another
+            roll = Rolling(own)
+            begin, owner = self.cut(own, roll, at)
+            length, out = np.diff(np.append(begin, len(own))), [None] * len(begin)
+            order = np.argsort(length, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+                for many in np.split(group, range(4096, len(group), 4096)):
+                    for k, ids in zip(many.tolist(), self.searched(own, roll, begin[many], int(length[group[0]])), strict=True):
+                        out[k] = ids
+            if len(begin) == len(new):
+                return out
+            edges = np.searchsorted(owner, np.arange(len(new) + 1)).tolist()
+            return [np.concatenate(out[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+        place, count = self.cache.find(Spans(points.view(np.uint8), 4 * start, 4 * (start + size)), make)
+        ids, total = ragged(self.cache.flat, place, count)
         offsets = np.zeros(n + 1, np.int64)
         offsets[full + 1] = total[np.searchsorted(start, np.append(begin[1:], len(points)))]
         return ids, np.maximum.accumulate(offsets)
@@ -184,11 +196,6 @@ class Model:
         return flat[keep], at - np.concatenate([[0], np.cumsum(np.diff(at) > 0)])
 
 
-def ragged_of(cache: Cache, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
-    place, count = cache.find(keys, make)
-    return ragged(cache.flat, place, count)
-
-
 _HELD: dict[str, Model] = {}
 
 
@@ -203,7 +210,9 @@ def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """Per document doc_id, n_ids, ids (binary, little-endian unsigned 16 or 32 bits by the model's size), ids_crc32 (of 32-bit integers), round_trip. No shuffle.
 
     round_trip says whether the ids decode to the text again. Null and empty texts have no ids (round_trip
-    true). Null ids and repeated rows are rows like others; other columns aren't read.
+    true). Texts and words of any length are searched whole, in the same way. Null ids and repeated rows are
+    rows like others; of segmentations with equal scores the one with the longer last piece counts. Other
+    columns aren't read. An empty table gives an empty result.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -227,7 +236,7 @@ def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
-    """Per row doc_id and the text of its binary ids. Null ids are null."""
+    """Per row doc_id and the text of its binary ids. Null ids give a null text, none an empty one; repeated rows and null doc_ids are rows like others; other columns aren't read; an empty table gives an empty result."""
     rows = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACE, Rolling, U, mixed, pieces, tidy, word_spans
+from docloom.llm.common import SPACE, Spans, U, mixed, pieces, tidy, word_spans
 
 CONTENT, BOILERPLATE = 0, 1
 #: The field is fitted on so many labelled documents at most (chosen by a hash of their ids), of each at most the
@@ -40,9 +40,11 @@ FEATURES = ("bias", "symbols", "upper", "digits", "shouts", "bars", "repeated",
 
 
 def _sum(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    upto = np.zeros(len(mask) + 1, np.int64)
-    np.cumsum(mask, out=upto[1:])
-    return upto[end] - upto[start]
+    if not len(start):
+        return np.zeros(0, np.int64)
+    padded = np.append(mask, mask.dtype.type(0))
+    out = np.add.reduceat(padded, np.stack([start, end], 1).reshape(-1), dtype=np.int64)[::2]
+    return np.where(end > start, out, 0)
 
 
 def _again(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,11 +79,10 @@ def measured(data: np.ndarray, at: np.ndarray) -> Measured:
     start, end, of = word_spans(data, at)
     n_words = np.diff(of)
     owner = np.repeat(np.arange(n), n_words)
-    roll = Rolling(data)
     # words in 8-word windows that occur twice or more
     covered = np.zeros(len(start), bool)
     if len(start) >= WINDOW:
-        words, m = roll(start, end), len(start) - WINDOW + 1
+        words, m = Spans(data, start, end).keys, len(start) - WINDOW + 1
         h = np.zeros(m, U)
         for j in range(WINDOW):
             h += words[j : j + m] * U((2 * j + 1) * 0xA0761D6478BD642F & (1 << 64) - 1)
@@ -103,7 +104,7 @@ def measured(data: np.ndarray, at: np.ndarray) -> Measured:
     line_words = np.searchsorted(start, line_end) - first_word
     keep = line_words > 0
     line_start, line_end, text_of, first_word, line_words = (x[keep] for x in (line_start, line_end, text_of, first_word, line_words))
-    earlier = _again(roll(line_start, line_end), text_of)[1]
+    earlier = _again(Spans(data, line_start, line_end).keys, text_of)[1]
     n_dup = np.bincount(text_of[earlier], minlength=n)
     # features of lines
     size = np.maximum(line_end - line_start, 1)

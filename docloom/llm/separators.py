@@ -93,10 +93,13 @@ def count_flat(paths: DataFrame, separator: int, dtype: str = "<u2", block_ids:
 def count_tokens(documents: DataFrame, tokenizer: str, separator: int, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2", folder: str | None = None, block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes flat files of the documents' ids, each with the separator at its end, and counts them by scanning. Ids aren't shuffled.
 
-    Returns per document doc_id and n_tokens (with the separator). Null and empty texts have the separator
-    alone. Null ids and rows that share an id are documents of their own. Other columns aren't read.
+    Returns per document doc_id and n_tokens (with the separator). A text that spells an added token such as
+    <|endoftext|> is encoded as plain text here, so that no text holds the separator's id. Null and empty
+    texts have the separator alone, texts of any length are encoded whole. Null ids and rows that share
+    an id or are equal are documents of their own; order doesn't matter, so there are no ties. Other columns
+    aren't read. An empty table gives an empty result.
     """
     folder = folder or scratch_path(documents.sparkSession, "flat")
-    order = write_flat(tokenized(documents, tokenizer, separator, id_col, text_col, dtype, REMEMBERED), folder, dtype, file_ids)
+    order = write_flat(tokenized(documents, tokenizer, separator, id_col, text_col, dtype, REMEMBERED, special_as_text=True), folder, dtype, file_ids)
     counted = count_flat(order, separator, dtype, block_ids)
     return order.join(counted, ["path", "ordinal"]).select("doc_id", "n_tokens")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import Rolling, U, mixed, pieces, released, shuffle_partitions, tidy, written
+from docloom.llm.common import Rolling, U, dropped, pieces, released, shuffle_partitions, tidy, written
 
 #: Bytes of the grams among which each window's anchor is chosen.
 GRAM = 50
@@ -25,8 +25,8 @@ TASK_STRETCHES = 4000
 BATCH_SUFFIXES = 1 << 15
 #: Windows of a long text are anchored in parts of so many starts.
 PART = 1 << 20
-
-_SECOND = 0xC2B2AE3D27D4EB4F | 1
+#: Sizes within a run of windows have to fit into so many bits.
+_BITS = 16
 
 
 class Level:
@@ -56,14 +56,14 @@ class SuffixFamily:
         self.found = [np.zeros(0, np.int64)]  # owners of matched suffixes
         self.added = 0
 
-    def add(self, data: np.ndarray, starts: np.ndarray, owners: np.ndarray, known: np.ndarray) -> None:
-        """Suffixes of data at starts, each with at least `length` bytes. known: those that occur elsewhere, as is known before."""
+    def add(self, data: np.ndarray, starts: np.ndarray, owners: np.ndarray) -> None:
+        """Suffixes of data at starts, each with at least `length` bytes."""
         if not len(starts):
             return
         windows = np.lib.stride_tricks.sliding_window_view(data, self.length)[starts]
         keys = np.ascontiguousarray(windows).view(f"S{self.length}").reshape(-1)
         order = np.argsort(keys, kind="stable")
-        new = self._unique(keys[order], owners[order], known[order])
+        new = self._unique(keys[order], owners[order])
         for level in self.levels:
             if level is not None:
                 at = np.searchsorted(level.keys, new.keys)
@@ -89,15 +89,14 @@ class SuffixFamily:
         level.matched[at] = True
         self.found.append(level.owners[at])
 
-    def _unique(self, keys: np.ndarray, owners: np.ndarray, matched: np.ndarray) -> Level:
+    def _unique(self, keys: np.ndarray, owners: np.ndarray) -> Level:
         """One entry for each run of equal keys; a run of several is matched."""
         first = np.ones(len(keys), bool)
         first[1:] = keys[1:] != keys[:-1]
         run = np.flatnonzero(first)
         many = np.diff(np.append(run, len(keys))) > 1
-        hit = np.repeat(many, np.diff(np.append(run, len(keys)))) | matched
-        self.found.append(owners[hit])
-        return Level(keys[run], owners[run], np.logical_or.reduceat(hit, run))
+        self.found.append(owners[np.repeat(many, np.diff(np.append(run, len(keys))))])
+        return Level(keys[run], owners[run], many)
 
     def _merged(self, one: Level, other: Level) -> Level:
         keys = np.concatenate([one.keys, other.keys])
@@ -128,83 +127,94 @@ def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray
     """Each window of `length` bytes has one anchor, its gram with the least hash (the last of equal ones).
 
     Equal windows, wherever they stand, have the same anchor at the same place in them. Returns runs of
-    neighbouring windows with one anchor: the first window's start, how many, and the anchor's position.
+    neighbouring windows with one anchor: the first window's start, how many, the anchor's position and hash.
     """
     n = len(data) - length + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, none.astype(U)
     out = []
     for first in range(0, n, PART):
         own = data[first : min(first + PART, n) + length - 1]
         at = np.arange(len(own) - gram + 1)
         last = U((1 << 22) - 1)
-        values = (Rolling(own)(at, at + gram) & ~last) | (last - at.astype(U))
+        grams = Rolling(own)(at, at + gram)
+        values = (grams & ~last) | (last - at.astype(U))
         pos = (last - (_least(values, length - gram + 1) & last)).astype(np.int64)
         run = np.flatnonzero(np.append(True, pos[1:] != pos[:-1]))
-        out.append((run + first, np.diff(np.append(run, len(pos))), pos[run] + first))
+        out.append((run + first, np.diff(np.append(run, len(pos))), pos[run] + first, grams[pos[run]]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _digests(raw: memoryview, start: np.ndarray, end: np.ndarray) -> bytes:
+    digest = hashlib.blake2b
+    return b"".join([digest(raw[s:e], digest_size=8).digest() for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+
+
 def _anchor_rows(length: int, gram: int):
-    """(anchor's hash, hash of all bytes of its run of windows, place): place packs start, number of windows, anchor's distance."""
+    """(anchor's hash, digest of all bytes of its run of windows, place): place packs start, number of windows, anchor's distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, at in pieces(batch, "text"):
-                rolls = Rolling(data), Rolling(data, _SECOND)
-                rows, a, n, place = [], [], [], []
+                raw, rows, a, n, place = memoryview(data), [], [], [], []
                 for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                    start, count, pos = anchors(data[lo:hi], length, gram)
+                    start, count, pos, key = anchors(data[lo:hi], length, gram)
                     if len(start):
-                        a.append(rolls[0](pos + lo, pos + lo + gram) ^ mixed(rolls[1](pos + lo, pos + lo + gram)))
-                        n.append(rolls[0](start + lo, start + lo + count + length - 1) ^ mixed(rolls[1](start + lo, start + lo + count + length - 1)))
-                        place.append(start << 16 | count << 8 | pos - start)
+                        a.append(key)
+                        n.append(_digests(raw[lo:hi], start, start + count + length - 1))
+                        place.append(start << 2 * _BITS | count << _BITS | pos - start)
                         rows.append(np.full(len(start), i))
                 if not rows:
                     continue
                 rows = np.concatenate(rows)
                 keys = [part.column(k).take(pa.array(rows)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(n).view(np.int64)), pa.array(np.concatenate(place))], ["id", "tie", "a", "n", "place"])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate(a).view(np.int64)), pa.array(np.frombuffer(b"".join(n), "<i8")), pa.array(np.concatenate(place))], ["id", "tie", "a", "n", "place"])
 
     return run
 
 
+def unpacked(place: int) -> tuple[int, int, int]:
+    return place >> 2 * _BITS, place >> _BITS & (1 << _BITS) - 1, place & (1 << _BITS) - 1
+
+
 def _stretches(length: int):
-    """Bytes of the asked runs of windows: (key, id, tie, start, known, bytes). Runs of hot anchors are cut in groups, keyed by what the group's windows share."""
+    """Bytes of the asked runs of windows: (key, a, n, second, skip, ends, bytes).
+
+    ends: of the run only the first and the last window are asked, which cover all its bytes. Runs of hot anchors
+    are cut in groups of windows, keyed by what the group's windows share; skip is where a group begins in its run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "a", "n", "second", "skip", "ends", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary()]
         for batch in batches:
             for part, data, at in pieces(batch, "text"):
-                asked, out = part.column(part.schema.get_field_index("asked")).to_pylist(), {k: [] for k in ("key", "row", "start", "known", "bytes")}
+                asked, out = part.column(part.schema.get_field_index("asked")).to_pylist(), []
                 for i, own in enumerate(asked):
                     text = data[at[i] : at[i + 1]]
                     roll = Rolling(text) if any(x["hot"] for x in own) else None
                     for x in own:
-                        start, count, back = x["place"] >> 16, x["place"] >> 8 & 255, x["place"] & 255
+                        start, count, back = unpacked(x["place"])
                         cuts = [(start, count, x["a"])]
                         if x["hot"]:
                             cuts, pos = [], start + back
-                            for g in range((pos - start - count + 1) // GROUP, (pos - start) // GROUP + 1):
-                                lo, hi = max(start, pos - g * GROUP - GROUP + 1), min(start + count - 1, pos - g * GROUP)
-                                if lo <= hi:
+                            wanted = [(start, start), (start + count - 1,) * 2][: min(count, 2)] if x["ends"] else [(start, start + count - 1)]
+                            for one, last in wanted:
+                                for g in range((pos - last) // GROUP, (pos - one) // GROUP + 1):
+                                    lo, hi = max(one, pos - g * GROUP - GROUP + 1), min(last, pos - g * GROUP)
                                     s, e = pos - g * GROUP, pos - g * GROUP - GROUP + 1 + length
                                     core = int(roll(np.array([s]), np.array([e]))[0])  # part of every window of the group, so within the text
                                     cuts.append((lo, hi - lo + 1, int(np.array([(core + g * 0x9E3779B97F4A7C15 + x["a"]) & (1 << 64) - 1], U).view(np.int64)[0])))
                         for s, c, key in cuts:
-                            out["key"].append(key)
-                            out["row"].append(i)
-                            out["start"].append(s)
-                            out["known"].append(x["c"] > 1)
-                            out["bytes"].append(text[s : s + c + length - 1].tobytes())
-                rows = pa.array(out["row"], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), part.column(0).take(rows), part.column(1).take(rows), pa.array(out["start"], pa.int64()), pa.array(out["known"], pa.bool_()), pa.array(out["bytes"], pa.binary())], ["key", "id", "tie", "start", "known", "bytes"])
+                            out.append((key, x["a"], x["n"], x["second"], s - start, x["ends"], text[s : s + c + length - 1].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
 
     return run
 
 
 def _matches(length: int):
-    """Feeds a task's stretches to a family, batch by batch, and returns the matched windows as spans (id, tie, s, e)."""
+    """Feeds a task's stretches to a family, batch by batch, and returns the matched windows as spans (a, n, s, e) within their run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, tables, begun = SuffixFamily(length), [], [0]
@@ -216,24 +226,24 @@ def _matches(length: int):
             if not wait:
                 return
             data = np.concatenate([w[0] for w in wait])
-            offset, starts, owners, known = 0, [], [], []
-            for d, base, flag in wait:
+            offset, starts, owners = 0, [], []
+            for d, base, ends in wait:
                 c = len(d) - length + 1
-                starts.append(np.arange(offset, offset + c))
-                owners.append(np.arange(base, base + c))
-                known.append(np.full(c, flag))
+                at = np.unique([0, c - 1]) if ends else np.arange(c)
+                starts.append(offset + at)
+                owners.append(base + at)
                 offset += len(d)
-            family.add(data, np.concatenate(starts), np.concatenate(owners), np.concatenate(known))
+            family.add(data, np.concatenate(starts), np.concatenate(owners))
             wait, waiting = [], 0
 
         for batch in batches:
-            tables.append(batch.select(["id", "tie", "start", "known"]))
-            flags = batch.column(4).to_pylist()
-            for own, flag in zip(batch.column(5), flags, strict=True):
+            tables.append(batch.select(["a", "n", "second", "skip"]))
+            ends = batch.column(5).to_pylist()
+            for own, flag in zip(batch.column(6), ends, strict=True):
                 d = np.frombuffer(own.as_buffer(), np.uint8)
                 wait.append((d, begun[-1], flag))
                 begun.append(begun[-1] + len(d) - length + 1)
-                waiting += len(d) - length + 1
+                waiting += 2 if flag else len(d) - length + 1
                 if waiting >= BATCH_SUFFIXES:
                     flush()
         flush()
@@ -245,15 +255,14 @@ def _matches(length: int):
             return
         begun = np.array(begun)
         row = np.searchsorted(begun, hit, "right") - 1
-        fresh = np.append(True, (hit[1:] != hit[:-1] + 1) | (row[1:] != row[:-1]))
-        first = np.flatnonzero(fresh)
+        first = np.flatnonzero(np.append(True, (hit[1:] != hit[:-1] + 1) | (row[1:] != row[:-1])))
         last = np.append(first[1:], len(hit)) - 1
-        take = pa.array(row[first])
-        start = rows.column("start").to_numpy()[row[first]]
-        s = start + hit[first] - begun[row[first]]
-        e = start + hit[last] - begun[row[first]] + length
-        got = pa.table({"id": rows.column("id").take(take), "tie": rows.column("tie").take(take), "s": s, "e": e})
-        yield from got.filter(pa.array(~rows.column("known").to_numpy()[row[first]])).combine_chunks().to_batches()
+        own = row[first]
+        skip = rows.column("skip").to_numpy()[own]
+        s, e = skip + hit[first] - begun[own], skip + hit[last] - begun[own] + length
+        take = pa.array(own)
+        got = pa.table({"a": rows.column("a").take(take), "n": rows.column("n").take(take), "s": s, "e": e})
+        yield from got.filter(pa.array(~rows.column("second").to_numpy()[own])).combine_chunks().to_batches()
 
     return run
 
@@ -266,20 +275,17 @@ def _removed():
             names, removed, counts, kept = [], [], [], []
             for i in range(batch.num_rows):
                 raw = (text[i].as_py() or "").encode()
-                data, gone = raw, 0
-                own = spans[i].as_py() or []
-                runs = merged([(x["s"], x["e"]) for x in own])
-                if runs:
-                    at, left = 0, []
-                    for s, e in runs:
-                        left.append(raw[at:s])
-                        at, gone = e, gone + e - s
-                    data = b"".join([*left, raw[at:]])
+                gone, at, left = 0, 0, hashlib.sha256()
+                runs = merged([(x["s"], x["e"]) for x in spans[i].as_py() or []])
+                for s, e in runs:
+                    left.update(raw[at:s])
+                    at, gone = e, gone + e - s
+                left.update(raw[at:])
                 names.append(len(raw))
                 removed.append(gone)
                 counts.append(len(runs))
-                kept.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept.append(left.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
@@ -299,32 +305,41 @@ def repeated_spans(documents: DataFrame, length: int = 200, id_col: str = "doc_i
     """(docs, spans): documents as (id, tie, text), and for those with repeats (id, tie, spans as array of (s, e) in bytes).
 
     A window of `length` bytes has one anchor (see anchors()), so equal windows meet under the anchor's hash.
-    Anchors that occur once are settled. Under the others, equal runs of windows are counted before
-    anything moves, a run that occurs twice or more being matched as a whole and standing in the index once;
-    all distinct runs of an anchor are indexed by one task's SuffixFamily, which decides window by window.
-    Runs of an anchor that occurs more than HOT times are dealt out in groups of windows by the bytes the
+    Anchors that occur once are settled. Under the others, runs of windows with equal bytes (by a 64-bit
+    BLAKE2 digest under one anchor) are a class, which is brought to the index once or, if it has several runs,
+    by two of them: the first with all its windows (or, if the anchor has no other class, with the two at its ends,
+    which cover all its bytes), the second with its ends. All classes of an anchor meet in one task's
+    SuffixFamily, which decides window by window; what it reports of a class holds for each of its runs.
+    Classes of an anchor that occurs more than HOT times are dealt out in groups of windows by the bytes the
     group shares, so that only runs that agree in nearly `length` bytes meet.
     """
+    if not gram <= length < 1 << _BITS:
+        raise ValueError(f"length has to be at least {gram} and less than {1 << _BITS}")
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.select("id", F.xxhash64("id", "text").alias("tie"), "text")
-    rows = docs.mapInArrow(tidy(_anchor_rows(length, gram)), "id long, tie long, a long, n long, place long")
-    often = rows.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi")).filter("m > 1")
-    twice = written(rows.join(often, "a").select("id", "tie", "a", "n", "place", "m", (F.col("lo") < F.col("hi")).alias("several")), "anchors")
+    rows = written(docs.mapInArrow(tidy(_anchor_rows(length, gram)), "id long, tie long, a long, n long, place long"), "windows")
+    # both sides of the join are tables, so that a hot anchor's partition can be split
+    often = written(rows.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi")).filter("m > 1").select("a", "m", (F.col("lo") < F.col("hi")).alias("several")), "anchors")
     released(spark)
-    span = [(F.shiftright("place", 16)).alias("s"), (F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + F.lit(length - 1)).alias("e")]
-    whole = twice.filter("not several").select("id", "tie", *span)
-    mixed_ = twice.filter("several")
-    runs = written(mixed_.groupBy("a", "n").agg(F.count(F.lit(1)).alias("c"), F.max("m").alias("m"), F.min(F.struct("id", "tie", "place")).alias("one")), "runs")
-    again = mixed_.join(runs.filter("c > 1").select("a", "n"), ["a", "n"], "left_semi").select("id", "tie", *span)
-    asked = runs.groupBy("one.id", "one.tie").agg(F.collect_list(F.struct("a", F.col("one.place").alias("place"), "c", (F.col("m") > HOT).alias("hot"))).alias("asked"))
+    twice = written(rows.join(often, "a"), "repeated")
+    dropped(rows, often)
+    released(spark)
+    one = F.struct("id", "tie", "place")
+    classes = written(twice.groupBy("a", "n").agg(F.count(F.lit(1)).alias("c"), F.max("m").alias("m"), F.max("several").alias("several"), F.min(one).alias("one"), F.max(one).alias("two")), "classes")
+    first = classes.select("one.*", "a", "n", F.lit(False).alias("second"), (~F.col("several")).alias("ends"), (F.col("m") > HOT).alias("hot"))
+    second = classes.filter("c > 1").select("two.*", "a", "n", F.lit(True).alias("second"), F.lit(True).alias("ends"), (F.col("m") > HOT).alias("hot"))
+    asked = first.unionByName(second).groupBy("id", "tie").agg(F.collect_list(F.struct("a", "n", "place", "second", "ends", "hot")).alias("asked"))
     to_cut = docs.join(asked, docs["id"].eqNullSafe(asked["id"]) & (docs["tie"] == asked["tie"])).select(docs["id"], docs["tie"], "text", "asked")
-    n = max(shuffle_partitions(spark), -(-runs.count() // TASK_STRETCHES))
-    stretches = to_cut.mapInArrow(tidy(_stretches(length)), "key long, id long, tie long, start long, known boolean, bytes binary")
-    decided = stretches.repartition(n, "key").mapInArrow(tidy(_matches(length)), "id long, tie long, s long, e long")
-    found = written(decided, "matches")
+    n = max(shuffle_partitions(spark), -(-classes.count() // TASK_STRETCHES))
+    stretches = to_cut.mapInArrow(tidy(_stretches(length)), "key long, a long, n long, second boolean, skip long, ends boolean, bytes binary")
+    found = written(stretches.repartition(n, "key").mapInArrow(tidy(_matches(length)), "a long, n long, s long, e long").distinct(), "matches")
+    released(spark)
+    start = F.shiftright("place", 2 * _BITS)
+    hit = twice.join(found, ["a", "n"]).select("id", "tie", (start + F.col("s")).alias("s"), (start + F.col("e")).alias("e"))
+    spans = written(hit.groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    dropped(twice, classes, found)
     released(spark)
-    spans = whole.unionByName(again).unionByName(found).groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return docs, spans
 
 

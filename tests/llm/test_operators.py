@@ -142,7 +142,7 @@ def test_suffix_family_merges():
     for step in range(40):
         data = rnd.integers(0, 3, 60).astype(np.uint8)
         starts = np.arange(53)
-        family.add(data, starts, starts + 1000 * step, np.zeros(53, bool))
+        family.add(data, starts, starts + 1000 * step)
         for s in starts:
             seen[data[s : s + 8].tobytes()].append(int(s) + 1000 * step)
     for own in seen.values():
