@@ -35,12 +35,27 @@ SCOPES = frozenset("article aside body div footer header html main nav section t
 
 #: Elements that are never part of an article's text.
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe object embed svg math canvas audio video select button input textarea dialog menu search noembed noframes xmp title datalist map".split())
+#: Of these, what a page never shows as text.
+UNSHOWN = frozenset("head script style noscript template iframe object embed svg math canvas audio video select button input textarea noembed noframes xmp title datalist map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
-#: Words of class and id values that name what stands beside an article.
+#: Names of what stands beside an article, as class and id values give them.
 BESIDE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adslot adbox banner promo promotion promoted sponsor sponsored sponsorship breadcrumb breadcrumbs comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr privacy notice notices alert warning disclaimer footer footnav header masthead topbar navbar nav navigation menu menus submenu sidebar sidenav sidemenu aside widget widgets related recommended recommendations more-stories share sharing social follow newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager skip tags taglist toc rail teaser outbrain taboola copyright legal search searchbox".split()
+    "ad ads advert adverts advertisement advertising adsense adslot adbox banner promo promotion promoted sponsor sponsored sponsorship breadcrumb breadcrumbs comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert warning disclaimer footer footnav masthead topbar navbar nav navigation menu menus submenu sidebar sidenav sidemenu aside widget widgets related recommended recommendations share sharing social follow newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager taglist toc outbrain taboola copyright search searchbox".split()
 )
+#: Parts of such names that say where or how large something is, and not what.
+VAGUE = frozenset("left right top bottom inner outer upper lower box boxes list lists item items area block blocks section wrap wrapper container content holder group row col column link links bar slot unit panel primary secondary main form text body main1 icon icons button buttons site page".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def beside_name(value: str) -> bool:
+    """Does a class or id value name something beside the article? The last part of a name that says what it is decides."""
+    for name in value.split():
+        parts = [w.lower() for w in _WORDS.findall(name)]
+        if name.lower() in BESIDE or next((w for w in reversed(parts) if w not in VAGUE), "") in BESIDE:
+            return True
+    return False
+
+
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _MARKUP = re.compile(r"<(?:!--|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))*+)(?P<close>>?)|(?P<bogus>[!?/])[^>]*>?)")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
@@ -51,6 +66,7 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.beside, self.inside = [-1], ["#root"], [False], [False]
+        self.named: list[bool] = [False]  # what a class or id places beside the article
         self.text: list[tuple[int, str]] = []  # (element, decoded text); None marks a block's edge
         self.edges: list[int] = []
         self._read(source)
@@ -87,7 +103,9 @@ class Page:
             tag.append(name)
             self.parent.append(stack[-1])
             self.inside.append(self.inside[stack[-1]] or name in ("article", "main"))
-            self.beside.append(self._is_beside(name, attributes, self.inside[stack[-1]]))
+            beside, named = self._is_beside(name, attributes, self.inside[stack[-1]])
+            self.beside.append(beside)
+            self.named.append(named)
             if name in BLOCK:
                 self.edges.append(len(self.text))
             if name == "br":
@@ -143,89 +161,116 @@ class Page:
             self.edges.append(len(self.text))
         del stack[k:]
 
-    def _is_beside(self, name: str, attributes: str, inside: bool) -> bool:
-        if name in DROPPED:
-            return True
-        if name == "header":
-            return not inside
+    def _is_beside(self, name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+        """Does the element stand beside the article by its kind or role; does it by its class or id."""
+        if name in DROPPED or name == "header" and not inside:
+            return True, False
         if not attributes or name in ("html", "body", "article", "main"):
-            return False
+            return False, False
+        beside = named = False
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key in ("class", "id"):
-                if name in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "b", "i", "em", "strong", "span", "a") and key == "id":
-                    continue
-                words = [w.lower() for w in _WORDS.findall(value)]
-                if BESIDE.intersection(words) or BESIDE.intersection(value.lower().split()):
-                    return True
+            if key == "class" or key == "id" and name not in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "b", "i", "em", "strong", "span", "a"):
+                named = named or beside_name(value)
             elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-                return True
-        return False
+                beside = True
+        return beside, named
+
+
+class Densities:
+    """Counts of a page's elements (characters, tags, both within links) and their composite text densities."""
+
+    def __init__(self, page: Page):
+        n, parent, tag = len(page.tag), page.parent, page.tag
+        self.page, self.n = page, n
+        in_link = [False] * n
+        for i in range(1, n):
+            in_link[i] = tag[i] == "a" or in_link[parent[i]]
+        self.low = [False] * n  # elements beside the article, and all in them: their density is lowered to nothing
+        for i in range(1, n):
+            self.low[i] = page.beside[i] or self.low[parent[i]]
+        own, own_link = [0] * n, [0] * n
+        for i, text in page.text:
+            size = len(" ".join(text.split()))
+            own[i] += size
+            if in_link[i]:
+                own_link[i] += size
+        self._own = own, own_link
+        self.body = next((i for i in range(n) if tag[i] == "body"), 0)
+        self._count()
+        if not self.chars[self.body]:
+            self.body = 0
+        # a name on what holds half of the text, and the article if there is one (or stands in it), is no such name
+        most, holds = self.chars[self.body], [False] * n
+        for i in range(n - 1, 0, -1):
+            holds[i] = holds[i] or tag[i] in ("article", "main")
+            holds[parent[i]] = holds[parent[i]] or holds[i]
+        for i in range(1, n):
+            wrong = 2 * self.chars[i] >= most and (holds[i] or not holds[0] or page.inside[i])
+            self.low[i] = self.low[i] or self.low[parent[i]] or page.named[i] and not wrong
+        self._count()
+        self.share = self.link_chars[self.body] / max(1, self.chars[self.body])
+
+    def _count(self) -> None:
+        n, parent, tag = self.n, self.page.parent, self.page.tag
+        self.chars, self.tags, self.link_chars, self.link_tags = ([0 if low else x for x, low in zip(self._own[0], self.low, strict=True)], [0] * n, [0 if low else x for x, low in zip(self._own[1], self.low, strict=True)], [0] * n)
+        for i in range(n - 1, 0, -1):
+            if not self.low[i]:
+                p = parent[i]
+                self.chars[p] += self.chars[i]
+                self.tags[p] += self.tags[i] + 1
+                self.link_chars[p] += self.link_chars[i]
+                self.link_tags[p] += self.link_tags[i] + (tag[i] == "a")
+
+    def of(self, i: int) -> float:
+        return density(self.chars[i], self.tags[i], self.link_chars[i], self.link_tags[i], self.share)
+
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density: characters per tag, weighted by how few of the characters and tags are links'. share: of the body's characters those in links."""
+    if not chars:
+        return 0.0
+    t, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
+    base = math.log(chars * link_chars / max(1, chars - link_chars) + chars * share + math.e)
+    return chars / t * max(0.0, math.log(max(1.0, chars * t / (lc * lt)))) / base
+
+
+#: The core grows to the article around it if that is at least so dense, in parts of the core's density.
+AROUND = 0.005
 
 
 def main_text(source: str | None) -> str:
     """The article's blocks, one per line.
 
-    Composite text density of an element with C characters, T tags, LC characters and LT tags of links:
-    C / T * log(C * T / (LC * LT)) to the base ln(C * LC / nLC + C * LCb / Cb + e), with nLC = C - LC and b
-    the body. Elements beside the article (menus, headers, footers, asides, forms, adverts, notices, comments,
-    hidden ones, scripts, styles) are taken out first. The element whose children's densities have the largest sum
-    is the article's core; the least density on the path from it to the body is the threshold; the core
-    grows to the article or main element around it, or, without one, to every element on the path and to
-    neighbours on it that reach the threshold.
+    Each element has a composite text density (see density()). It is lowered to nothing for elements that stand
+    beside an article by their kind or role (menus, headers, footers, asides, forms, scripts, hidden ones), or by
+    a class or id that names such a thing (an advert, a notice, comments), unless they hold half of the body's text
+    or more and no article stands elsewhere. The element whose children's densities have the largest sum is the core, and the least density on the
+    path from it to the body is the threshold. The core grows to the article or main element around it if that is
+    dense enough (AROUND); where there is none, to everything beside the path whose density reaches the threshold
+    and whose text isn't mostly links, and to headings before the core. Of all this, lowered elements stay only if
+    their density reaches the threshold.
     """
     if not source:
         return ""
     page = Page(source)
-    n, parent, tag = len(page.tag), page.parent, page.tag
-    out = [False] * n
-    in_link = [False] * n
-    for i in range(1, n):
-        out[i] = page.beside[i] or out[parent[i]]
-        in_link[i] = tag[i] == "a" or in_link[parent[i]]
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    for i, text in page.text:
-        if not out[i]:
-            size = len(" ".join(text.split()))
-            chars[i] += size
-            if in_link[i]:
-                link_chars[i] += size
-    for i in range(n - 1, 0, -1):
-        if not out[i]:
-            p = parent[i]
-            chars[p] += chars[i]
-            tags[p] += tags[i] + 1
-            link_chars[p] += link_chars[i]
-            link_tags[p] += link_tags[i] + (tag[i] == "a")
-    body = next((i for i in range(n) if tag[i] == "body"), 0)
-    if not chars[body]:
-        body = 0
-    share = link_chars[body] / max(1, chars[body])
-
-    def density(i: int) -> float:
-        c, t = chars[i], max(1, tags[i])
-        if not c:
-            return 0.0
-        lc, lt = max(1, link_chars[i]), max(1, link_tags[i])
-        base = math.log(c * link_chars[i] / max(1, c - link_chars[i]) + c * share + math.e)
-        return c / t * max(0.0, math.log(max(1.0, c * t / (lc * lt)))) / max(base, 1e-9)
-
-    dense = [0.0 if out[i] else density(i) for i in range(n)]
+    held = Densities(page)
+    n, parent, tag, low, body, chars, link_chars = held.n, page.parent, page.tag, held.low, held.body, held.chars, held.link_chars
+    dense = [0.0 if low[i] else held.of(i) for i in range(n)]
     sums = [0.0] * n
     for i in range(1, n):
-        if not out[i]:
-            sums[parent[i]] += dense[i]
+        sums[parent[i]] += dense[i]
     inside = [False] * n
     inside[body] = True
     for i in range(body + 1, n):
-        inside[i] = not out[i] and inside[parent[i]]
+        inside[i] = not low[i] and inside[parent[i]]
     core = max((i for i in range(n) if inside[i]), key=lambda i: (sums[i], dense[i], -i))
     path = [core]
     while path[-1] != body:
         path.append(parent[path[-1]])
     threshold = min(dense[i] for i in path)
-    # the outermost article, or else main, on the path is the whole article
-    around = next((i for i in reversed(path) if tag[i] == "article"), next((i for i in reversed(path) if tag[i] == "main"), None))
+    least = AROUND * dense[core]
+    around = next((i for kind in ("article", "main") for i in reversed(path) if tag[i] == kind and dense[i] >= least > 0), None)
     kept = [False] * n
     if around is not None:
         kept[around] = True
@@ -233,11 +278,11 @@ def main_text(source: str | None) -> str:
         kept[core] = True
         on_path = set(path)
         for i in range(body + 1, n):
-            if inside[i] and parent[i] in on_path and i not in on_path and dense[i] >= threshold and chars[i] > 2 * link_chars[i]:
-                kept[i] = True
+            if inside[i] and parent[i] in on_path and i not in on_path and chars[i] > 2 * link_chars[i]:
+                kept[i] = dense[i] >= threshold > 0 or i < core and tag[i] in ("h1", "h2", "h3", "h4", "h5", "h6")
         own = {i for i in path if i != body}
     for i in range(1, n):
-        kept[i] = not out[i] and (kept[i] or kept[parent[i]])
+        kept[i] = (kept[i] or kept[parent[i]]) and not (low[i] and (tag[i] in UNSHOWN or dense[i] < threshold))
     direct = own if around is None else set()
     blocks, now, edge = [], [], 0
     for k, (i, text) in enumerate(page.text):
@@ -246,7 +291,7 @@ def main_text(source: str | None) -> str:
             if now:
                 blocks.append("".join(now))
                 now = []
-        if kept[i] or i in direct and not out[i] or i == body and core == body:
+        if kept[i] or i in direct and not low[i] or i == body and core == body:
             now.append(text)
     blocks.append("".join(now))
     return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
@@ -255,9 +300,9 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page page_id, url, text (empty if there is none), n_chars. No shuffle; the whole html of every page is read.
 
-    Null and empty html give an empty text. Null ids or urls and repeated rows are rows like others; other
-    columns aren't read; an empty table gives an empty result. Of elements with equal sums the denser, then
-    the first one counts.
+    Null and empty html give an empty text; html of any length is read whole, a page at a time. Null ids or urls
+    and repeated rows are rows like others; other columns aren't read; an empty table gives an empty result.
+    Of elements with equal sums the denser, then the first one counts.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
 

@@ -302,16 +302,20 @@ def odd_texts():
 
 
 def test_encoder_equals_library():
-    held = encoder.Encoder(encoder.default_tokenizer())
-    texts = odd_texts()
+    from tokenizers import Tokenizer
+
+    held, library = encoder.Encoder(encoder.default_tokenizer()), Tokenizer.from_file(encoder.default_tokenizer())
+    texts = [*odd_texts(), "a <|endoftext|> b"]
     ids, of = held(*_batch(texts))
-    want = [e.ids for e in held.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(of[:-1], of[1:], strict=True)] == want
 
 
 def test_token_files(docs, empty, tmp_path):
+    from tokenizers import Tokenizer
+
     path = encoder.default_tokenizer()
-    held = encoder.Encoder(path)
+    library = Tokenizer.from_file(path)
     files, got = tokenfiles.token_files(docs, path, 0, folder=str(tmp_path / "t"), file_ids=500)
     got = sorted(got.collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got if r.doc_id is not None] == sorted(i for i, _, _ in corpus() if i is not None)
@@ -321,7 +325,7 @@ def test_token_files(docs, empty, tmp_path):
         assert r.start == start
         start += r.n_tokens
         if r.doc_id is not None:
-            ids = held.tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [0]
+            ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [0]
             assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     own = tokenfiles.TokenFile(files.first().path)
     assert [len(own.ids(i)) for i in range(len(own))] == np.diff(np.concatenate([[0], own.ends.all()]).astype(int)).tolist()
@@ -331,7 +335,7 @@ def test_token_files(docs, empty, tmp_path):
 def test_separator_scan(spark, docs, empty, tmp_path):
     path = encoder.default_tokenizer()
     got = separators.count_tokens(docs, path, 50256, folder=str(tmp_path / "f"), block_ids=37, file_ids=900)
-    held, texts = encoder.Encoder(path), {i: t for i, t, _ in corpus()}
+    held, texts = encoder.Encoder(path, special_as_text=True), {i: t for i, t, _ in corpus()}
     for r in got.collect():
         if r.doc_id is not None:
             assert r.n_tokens == len(held.tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids) + 1
@@ -419,3 +423,148 @@ def test_targets_of_many_sources(spark, docs, monkeypatch):
     many = order(mixing.mix(docs))
     assert [(r.doc_id, r.source, r.size, r.taken) for r in few] == [(r.doc_id, r.source, r.size, r.taken) for r in many]
     assert [r.target for r in many] == pytest.approx([r.target for r in few])
+
+
+STORY = "<p>" + "This is a sentence of the story, which goes on for a while as stories do. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content-sidebar-wrap'><div class='post'>{}</div></div>",
+        "<div class='page has-sidebar'><article>{}</article></div>",
+        "<div class='privacy-study'>{}</div>",
+        "<section class='search-results-story'>{}</section>",
+        "<div class='article-body'><div id='disclaimer-history'>{}</div></div>",
+        "<article class=x>{}</article><div class='cookie-notice'>" + "We use cookies. " * 100 + "</div>",
+    ],
+)
+def test_names_that_are_wrong(page):
+    html = "<body><nav><a href=/>Home</a></nav>" + page.format(STORY * 3) + "<div class=ad>Buy this</div><footer>f</footer></body>"
+    assert extraction.main_text(html) == "\n".join([STORY[3:-5]] * 3)
+
+
+def test_names_within_an_article():
+    html = "<body><article><div class='entry-header'><h1>Title</h1></div>" + STORY + "<section id='related-work'><p>Other work.</p></section><p class='legal-opinion'>An opinion.</p><div class='ad-box'>Buy</div><div id='comments'>Nice</div></article></body>"
+    assert extraction.main_text(html) == "Title\n" + STORY[3:-5] + "\nOther work.\nAn opinion."
+
+
+def test_density_decides(monkeypatch):
+    """On pages with and without an article element, what is taken depends on the densities."""
+    links = "<div>" + "".join(f"<p><a href={i}>Some link of the page, number {i}</a></p>" for i in range(30)) + "</div>"
+    plain = f"<body><div>{links}</div><div><div>{STORY * 3}</div></div></body>"
+    story = "\n".join([STORY[3:-5]] * 3)
+    several = f"<body><div><article>{links}</article><article>{STORY * 3}</article></div></body>"
+    assert extraction.main_text(plain) == extraction.main_text(several) == story
+    monkeypatch.setattr(extraction, "density", lambda chars, tags, link_chars, link_tags, share: float(link_chars))
+    assert "number 3" in extraction.main_text(plain)
+    assert "number 3" in extraction.main_text(several) and story not in extraction.main_text(several)
+
+
+def test_densities_against_brute_force():
+    """Counts and densities of random trees, by walking each element's subtree."""
+    rnd = random.Random(12)
+
+    def tree(depth):
+        tag = rnd.choice(["div", "section", "span", "a", "b"])
+        inner = [tree(depth - 1) if depth and rnd.random() < 0.6 else rnd.choice(["", "xy z", "words of text "]) for _ in range(rnd.randint(0, 4))]
+        return (tag, inner)
+
+    def markup(t):
+        return t if isinstance(t, str) else f"<{t[0]}>" + "".join(map(markup, t[1])) + f"</{t[0]}>"
+
+    def walk(t, link):
+        """(characters, tags, characters in links, link tags) within t, and the same of all its elements in order."""
+        if isinstance(t, str):
+            size = len(" ".join(t.split()))
+            return (size, 0, size if link else 0, 0), []
+        link = link or t[0] == "a"
+        own, below = [0, 0, 0, 0], []
+        for c in t[1]:
+            got, more = walk(c, link)
+            is_element = not isinstance(c, str)
+            own = [own[0] + got[0], own[1] + got[1] + is_element, own[2] + got[2], own[3] + got[3] + (is_element and c[0] == "a")]
+            below += more
+        return tuple(own), [tuple(own), *below]
+
+    for _ in range(60):
+        top = ("div", [tree(4) for _ in range(3)])
+        _, want = walk(("body", [top]), False)
+        held = extraction.Densities(extraction.Page("<body>" + markup(top) + "</body>"))
+        got = [(held.chars[i], held.tags[i], held.link_chars[i], held.link_tags[i]) for i in range(1, held.n)]
+        assert got == want
+        for i in range(1, held.n):
+            c, t, lc, lt = got[i - 1]
+            share = want[0][2] / max(1, want[0][0])
+            by_hand = c / max(1, t) * max(0.0, np.log(max(1.0, c * max(1, t) / (max(1, lc) * max(1, lt))))) / np.log(c * lc / max(1, c - lc) + c * share + np.e) if c else 0.0
+            assert held.of(i) == pytest.approx(by_hand)
+
+
+def thue_morse(n=2048):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_texts_that_collide_in_polynomial_hashes(spark):
+    from tokenizers import Tokenizer
+
+    one, other = thue_morse()
+    texts = [one, other, f"{one}\n{other}", "x" * 3000, "x" * 3001]
+    library = Tokenizer.from_file(encoder.default_tokenizer())
+    ids, of = encoder.Encoder(encoder.default_tokenizer())(*_batch(texts))
+    assert [ids[a:b].tolist() for a, b in zip(of[:-1], of[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    held = pieces.Model(pieces.default_model())
+    ids, of = held.encode(*_batch(texts))
+    flat, at = held.decode(ids, of)
+    assert [flat[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)] == texts
+    assert quality.measured(*_batch(texts)).n_dup_lines.tolist() == [0] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in minhash.near_duplicates(df, 4).collect()}
+    assert got[0].component_id == 0 and got[1].component_id == 1
+    gone = {r.doc_id: r.n_removed for r in suffixes.deduplicate(df, length=1500).collect()}
+    assert (gone[0], gone[1], gone[2]) == (2048, 2048, 4096)  # only with themselves in the third text
+    gone = {r.doc_id: r.n_removed for r in suffixes.deduplicate(df.filter("doc_id < 2"), length=1600).collect()}
+    seen = collections.Counter(t[k : k + 1600] for t in (one, other) for k in range(2048 - 1599))
+    assert all(v == 1 for v in seen.values()) and gone == {0: 0, 1: 0}
+    counts = {r.doc_id: r.n_tokens for r in separators.count_tokens(df, encoder.default_tokenizer(), 50256).collect()}
+    assert counts == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_cache_compares_bytes(monkeypatch):
+    """Strings whose keys are equal are still told apart."""
+    from docloom.llm import common
+
+    init = common.Spans.__init__
+
+    def poor(self, *args):
+        init(self, *args)
+        self.keys = self.keys % np.uint64(3)
+
+    monkeypatch.setattr(common.Spans, "__init__", poor)
+    texts = [t for t in odd_texts()[:300] if "\U0001f600" not in t]
+    held = encoder.Encoder(encoder.default_tokenizer())
+    for _ in range(2):
+        ids, of = held(*_batch(texts))
+        assert [ids[a:b].tolist() for a, b in zip(of[:-1], of[1:], strict=True)] == [e.ids for e in held.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_repeats_longer_than_eight_bits_of_windows(spark):
+    rnd = random.Random(3)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+    rows = [(i, "".join(rnd.choice("ijklm") for _ in range(50)) + passage + "".join(rnd.choice("nopq") for _ in range(50))) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (200, 400, 800):
+        assert {r.n_removed for r in suffixes.deduplicate(df, length=length).collect()} == {900}
+
+
+def test_long_words_are_cut_where_no_piece_spans():
+    held = pieces.Model(pieces.default_model())
+    rnd = random.Random(4)
+    for text in ("日本語の文章" * 60, "".join(rnd.choice("ab日") for _ in range(500)), "ab" * 300):
+        ids, of = held.encode(*_batch([text]))
+        uncut, pieces.UNCUT = pieces.UNCUT, 10**6
+        try:
+            want, _ = pieces.Model(pieces.default_model()).encode(*_batch([text]))
+        finally:
+            pieces.UNCUT = uncut
+        assert ids.tolist() == want.tolist()
