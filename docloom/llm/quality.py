@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from docloom.llm.common import SPACE, Spans, U, mixed, pieces, tidy, word_spans
 
 CONTENT, BOILERPLATE = 0, 1
-#: The field is fitted on so many labelled documents at most (chosen by a hash of their ids), of each at most the
-#: first TRAIN_LINES lines with words. Both bound the fitting alone; every line of every document is decoded.
-TRAIN_DOCUMENTS, TRAIN_LINES = 2000, 64
+#: The field is fitted on so many labelled documents at most (chosen by a hash of their ids), each with all its lines.
+#: This bounds the fitting alone; every line of every document is decoded.
+TRAIN_DOCUMENTS = 2000
 #: A document is kept if at least this share of its words stands in content lines.
 LEAST_SHARE = 0.5
 
@@ -144,9 +144,9 @@ class Field:
     move: np.ndarray
     first: np.ndarray
 
-    def decoded(self, features: np.ndarray, line_of: np.ndarray) -> np.ndarray:
-        """The most probable states of each sequence of lines (ties: content). Sequences advance together, line by line."""
-        scores = features @ self.emit.T
+    def decoded(self, features: np.ndarray, line_of: np.ndarray, extra: np.ndarray | float = 0.0) -> np.ndarray:
+        """The most probable states of each sequence of lines (ties: content), `extra` being added to the states' scores. Sequences advance together, line by line."""
+        scores = features @ self.emit.T + extra
         n = len(scores)
         back, states = np.zeros((n, 2), np.int8), np.zeros(n, np.int8)
         lengths = np.diff(line_of)
@@ -176,80 +176,123 @@ class Field:
         return states
 
 
-def fitted(sequences: list[tuple[np.ndarray, int]], steps: int = 200, rate: float = 0.1, penalty: float = 1e-3) -> Field:
-    """Maximum likelihood by gradient steps (Adam) over sequences (features of the lines, state of all its lines).
+#: Biases among which the least is sought that lets a labelled document's lines agree with its label.
+BIASES = (0.0, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 1e6)
 
-    A document's label holds for its lines. Classes weigh the same in the sum, so the share of bad documents
-    among the labelled ones doesn't matter. Without sequences of both kinds all lines are content.
-    """
-    sequences = [(x[:TRAIN_LINES], y) for x, y in sequences if len(x)]
-    width = len(FEATURES)
-    if len({y for _, y in sequences}) < 2:
-        return Field(np.stack([np.eye(width)[0], np.zeros(width)]), np.zeros((2, 2)), np.zeros(2))
-    longest = max(len(x) for x, _ in sequences)
-    n = len(sequences)
-    x, mask, y = np.zeros((n, longest, width)), np.zeros((n, longest), bool), np.array([s[1] for s in sequences])
-    for i, (f, _) in enumerate(sequences):
-        x[i, : len(f)], mask[i, : len(f)] = f, True
-    weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()) / n
-    shapes = [(2, width), (2, 2), (2,)]
-    params = [np.zeros(s) for s in shapes]
-    m1, m2 = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
+
+def _climbed(params: list[np.ndarray], gradient, steps: int, rate: float, penalty: float) -> list[np.ndarray]:
+    """Gradient steps (Adam) upward."""
+    m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        emit, move, first = params
-        e = x @ emit.T
-        alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        alpha[:, 0] = first + e[:, 0]
-        for t in range(1, longest):
-            a = alpha[:, t - 1, :, None] + move
-            top = a.max(1)
-            a = np.log(np.exp(a - top[:, None]).sum(1)) + top + e[:, t]
-            alpha[:, t] = np.where(mask[:, t, None], a, alpha[:, t - 1])
-        top = alpha[:, -1].max(1)
-        z = np.log(np.exp(alpha[:, -1] - top[:, None]).sum(1)) + top
-        pair = np.zeros((2, 2))
-        for t in range(longest - 1, 0, -1):
-            out = e[:, t] + beta[:, t]
-            b = move[None] + out[:, None, :]
-            top = b.max(2)
-            b_new = np.log(np.exp(b - top[:, :, None]).sum(2)) + top
-            p = np.exp(alpha[:, t - 1, :, None] + move[None] + out[:, None, :] - z[:, None, None])
-            pair += (p * (mask[:, t] * weight)[:, None, None]).sum(0)
-            beta[:, t - 1] = np.where(mask[:, t, None], b_new, beta[:, t])
-        p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-        truth = np.zeros_like(p)
-        truth[np.arange(n), :, y] = 1
-        truth *= mask[:, :, None]
-        gap = (truth - p) * weight[:, None, None]
-        pairs = np.zeros((2, 2))
-        for s in (0, 1):
-            pairs[s, s] = (mask[y == s, 1:].sum(1) * weight[y == s]).sum()
-        grads = [np.einsum("nts,ntf->sf", gap, x), pairs - pair, gap[:, 0].sum(0)]
-        for i, g in enumerate(grads):
+        for i, g in enumerate(gradient(*params)):
             g = g - penalty * params[i]
             m1[i] = 0.9 * m1[i] + 0.1 * g
             m2[i] = 0.999 * m2[i] + 0.001 * g * g
             params[i] = params[i] + rate * (m1[i] / (1 - 0.9**step)) / (np.sqrt(m2[i] / (1 - 0.999**step)) + 1e-8)
+    return params
+
+
+def _pseudo_likelihood(x: np.ndarray, states: np.ndarray, line_of: np.ndarray, weight: np.ndarray):
+    """The gradient of the sum over lines of log P(state | features, states of the lines before and after)."""
+    n, each = len(x), np.arange(len(x))
+    is_first, is_last = np.zeros(n, bool), np.zeros(n, bool)
+    is_first[line_of[:-1]] = True
+    is_last[line_of[1:] - 1] = True
+    before, after = np.roll(states, 1), np.roll(states, -1)
+
+    def gradient(emit: np.ndarray, move: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        score = x @ emit.T
+        score += np.where(is_first[:, None], first, move.T[:, before].T)
+        score += np.where(is_last[:, None], 0, move[:, after].T)
+        score -= score.max(1, keepdims=True)
+        p = np.exp(score)
+        gap = -p / p.sum(1, keepdims=True)
+        gap[each, states] += 1
+        gap *= weight[:, None]
+        pair = np.zeros((2, 2))
+        for s in (0, 1):
+            pair[s] += gap[~is_first & (before == s)].sum(0)
+            pair[:, s] += gap[~is_last & (after == s)].sum(0)
+        return [gap.T @ x, pair, gap[is_first].sum(0)]
+
+    return gradient
+
+
+def agreeing(field: Field, x: np.ndarray, line_of: np.ndarray, words: np.ndarray, labels: np.ndarray, least: float = LEAST_SHARE) -> np.ndarray:
+    """The best states of each document's lines under which its label holds.
+
+    A good document has at least the share `least` of its words in content lines, a bad one less: the state that
+    a document lacks gets the least bias that brings the share about. The other lines keep what the field says.
+    """
+    of = np.repeat(np.arange(len(labels)), np.diff(line_of))
+    total = np.add.reduceat(words, line_of[:-1])
+    states, open_ = np.zeros(len(x), np.int8), np.ones(len(labels), bool)
+    lacking = np.where(labels == CONTENT, CONTENT, BOILERPLATE)[of]
+    for bias in BIASES:
+        extra = np.zeros((len(x), 2))
+        extra[np.arange(len(x)), lacking] = bias
+        got = field.decoded(x, line_of, extra)
+        share = np.add.reduceat(np.where(got == CONTENT, words, 0), line_of[:-1]) / total
+        now = open_ & ((share >= least) == (labels == CONTENT))
+        states[now[of]] = got[now[of]]
+        open_ &= ~now
+    return states
+
+
+def fitted(sequences: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 4, steps: int = 60, rate: float = 0.1, penalty: float = 1e-3) -> Field:
+    """Fits the field to documents (features of the lines, words of the lines, label), whose lines have no labels.
+
+    A label bounds a document's share of content words, no more. It starts from single lines: what tells the lines of
+    bad documents from those of good ones. Then, in turn, each document's lines get the states that the field prefers
+    among those that agree with its label (agreeing()), and the field is fitted to these states by gradient steps on
+    their pseudo-likelihood, good and bad documents weighing the same. Without documents of both kinds all lines
+    are content.
+    """
+    sequences = [s for s in sequences if len(s[0])]
+    width = len(FEATURES)
+    if len({y for _, _, y in sequences}) < 2:
+        return Field(np.stack([np.eye(width)[0], np.zeros(width)]), np.zeros((2, 2)), np.zeros(2))
+    x, words = np.concatenate([s[0] for s in sequences]), np.concatenate([s[1] for s in sequences])
+    labels = np.array([s[2] for s in sequences])
+    line_of = np.concatenate([[0], np.cumsum([len(s[0]) for s in sequences])])
+    sizes = np.diff(line_of)
+    kind = np.repeat(labels, sizes)
+    # each kind of documents, and each document of a kind, weighs the same
+    weight = np.repeat(np.where(labels == BOILERPLATE, 0.5 / (labels == BOILERPLATE).sum(), 0.5 / (labels == CONTENT).sum()) / sizes, sizes)
+    params = [np.zeros((2, width)), np.zeros((2, 2)), np.zeros(2)]
+    alone = np.arange(len(x) + 1)  # every line a sequence of its own
+    line_gradient = _pseudo_likelihood(x, kind, alone, weight)
+    params = _climbed(params, lambda e, m, f: [line_gradient(e, m, f)[0], np.zeros((2, 2)), np.zeros(2)], steps, rate, penalty)
+    for _ in range(rounds):
+        states = agreeing(Field(*params), x, line_of, words, labels)
+        params = _climbed(params, _pseudo_likelihood(x, states, line_of, weight), steps, rate, penalty)
     return Field(*params)
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCUMENTS) -> Field:
-    """Fits the field on at most `most` labelled documents; labels are 1 (good) and 0 (bad), others are ignored."""
+    """Fits the field on at most `most` labelled documents, chosen by a hash of their ids, each with all its lines; labels are 1 (good) and 0 (bad).
+
+    Other labels, null ids, and labelled ids without a document are ignored; of rows that share an id one counts (of
+    labels the least). Without labels or documents of both kinds the field calls all lines content.
+    """
     chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(most)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = docs.join(F.broadcast(chosen), "id").select("y", "text", "id")  # at most `most` rows are broadcast
+    rows = docs.join(F.broadcast(chosen), "id").select("id", "y", "text")  # at most `most` rows are broadcast
+    # of rows that share an id one, the least by its text's hash, so that what reaches the driver is bounded too
+    rows = rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "y", "text")).alias("one")).select("id", "one.y", "one.text")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, at in pieces(batch, "text"):
                 got = measured(data, at)
-                own = [got.features[a:b][:TRAIN_LINES].astype("<f8").tobytes() for a, b in zip(got.line_of[:-1].tolist(), got.line_of[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(own, pa.binary())], ["id", "y", "lines"])
+                of = list(zip(got.line_of[:-1].tolist(), got.line_of[1:].tolist(), strict=True))
+                own, words = ([x[a:b].tobytes() for a, b in of] for x in (got.features.astype("<f8"), got.line_words.astype("<i8")))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary()), pa.array(words, pa.binary())], ["id", "y", "lines", "words"])
 
-    got = rows.mapInArrow(tidy(lines), "id long, y int, lines binary").collect()
-    got.sort(key=lambda r: (r.id, bytes(r.lines)))
-    return fitted([(np.frombuffer(r.lines, "<f8").reshape(-1, len(FEATURES)), CONTENT if r.y else BOILERPLATE) for r in got])
+    got = rows.mapInArrow(tidy(lines), "id long, y int, lines binary, words binary").collect()
+    got.sort(key=lambda r: r.id)
+    return fitted([(np.frombuffer(r.lines, "<f8").reshape(-1, len(FEATURES)), np.frombuffer(r.words, "<i8"), CONTENT if r.y else BOILERPLATE) for r in got])
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_words long, base_failed boolean, kept boolean"
@@ -267,8 +310,9 @@ def judged(data: np.ndarray, at: np.ndarray, field: Field) -> list[pa.Array]:
 def rate(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base counts and verdict of every document: doc_id and COLUMNS. No shuffle.
 
-    Null and empty texts have no words and fail the base rule. Null ids and repeated rows are rows like
-    others; other columns aren't read. An empty table gives an empty result.
+    Null and empty texts have no words and fail the base rule; texts of any length are read whole. Null ids and
+    repeated rows are rows like others; of states with equal scores content counts; other columns aren't read.
+    An empty table gives an empty result.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -281,7 +325,11 @@ def rate(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col: s
 
 
 def keep_good(documents: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """The documents that the rules keep, all columns as they are; no shuffle."""
+    """The documents that the rules keep, all columns as they are, whatever their names; no shuffle.
+
+    Null and empty texts fail the base rule and go; texts of any length are judged whole; null ids and repeated
+    rows are judged like others; there are no ties; an empty table gives an empty one.
+    """
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

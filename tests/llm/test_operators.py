@@ -189,12 +189,49 @@ def _score(field, x, path):
     return field.first[path[0]] + sum(float(x[k] @ field.emit[s]) for k, s in enumerate(path)) + sum(field.move[a, b] for a, b in zip(path, path[1:], strict=False))
 
 
-def test_field_learns():
-    rnd = np.random.default_rng(4)
+def _lines(states, rnd):
+    """Features and words of lines, boilerplate ones full of symbols."""
     width = len(quality.FEATURES)
-    make = lambda bad: np.concatenate([np.ones((6, 1)), np.full((6, 1), 0.8 * bad), rnd.random((6, width - 2)) * 0.1], 1)
-    field = quality.fitted([(make(k % 3 == 0), int(k % 3 == 0)) for k in range(60)], steps=80)
-    assert field.decoded(make(True), np.array([0, 6])).all() and not field.decoded(make(False), np.array([0, 6])).any()
+    f = np.concatenate([np.ones((len(states), 1)), 0.8 * np.array(states)[:, None], rnd.random((len(states), width - 2)) * 0.1], 1)
+    return f, np.full(len(states), 10)
+
+
+def test_field_learns_lines_from_labels_of_documents():
+    """Good documents hold some boilerplate, bad ones some content; no line is labelled, yet each is told."""
+    rnd = np.random.default_rng(4)
+    made = []
+    for k in range(80):
+        bad = k % 4 == 0
+        states = (rnd.random(int(rnd.integers(4, 90))) < (0.75 if bad else 0.15)).astype(int)
+        if len(states) and (states.mean() > 0.5) == bad:
+            made.append((*_lines(states, rnd), int(bad)))
+    field = quality.fitted(made)
+    states = [0, 0, 1, 0, 1, 1, 0, 0, 0]
+    assert field.decoded(_lines(states, rnd)[0], np.array([0, 9])).tolist() == states
+    for label, share in ((0, [1] * 6), (1, [0] * 6)):  # a label that contradicts all lines turns the least that it must
+        f, words = _lines(share, rnd)
+        got = quality.agreeing(field, f, np.array([0, 6]), words, np.array([label]))
+        assert ((got == 0).mean() >= 0.5) == (label == 0)
+
+
+def test_documents_of_mixed_lines(spark):
+    """After training on labels of documents, junk lines within good documents are marked, and good lines within bad ones."""
+    rnd = random.Random(9)
+    good = lambda: " ".join(rnd.choice(["this", "story", "goes", "on", "with", "words"]) + str(rnd.randint(0, 99)) for _ in range(12)) + "."
+    junk = lambda: " ".join(rnd.choice(["win", "buy", "now"]) + rnd.choice(["***", "$$$", "%%%"]) + str(rnd.randint(0, 99)) for _ in range(12))
+    rows, labels = [], []
+    for i in range(60):
+        bad = i % 3 == 0
+        rows.append((i, "\n".join((junk if (rnd.random() < 0.8) == bad else good)() for _ in range(12))))
+        labels.append((i, 0 if bad else 1))
+    rows += [(100, "\n".join([good(), good(), junk(), good(), good()])), (101, "\n".join([junk(), junk(), good(), junk(), junk()])), (None, None), (0, rows[0][1]), (0, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = quality.train(docs, spark.createDataFrame([*labels, (None, 1), (5, 7), (999, 0)], "doc_id long, quality int"))
+    got = {r.doc_id: r for r in quality.rate(docs, field).collect()}
+    assert (got[100].content_words, got[100].kept) == (48, True)
+    assert (got[101].content_words, got[101].kept) == (12, False)
+    none = quality.train(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r.kept for r in quality.rate(docs.filter("doc_id > 99"), none).collect()} == {True}
 
 
 def test_mix(spark, docs, empty):
@@ -456,8 +493,8 @@ def test_density_decides(monkeypatch):
     story = "\n".join([STORY[3:-5]] * 3)
     several = f"<body><div><article>{links}</article><article>{STORY * 3}</article></div></body>"
     assert extraction.main_text(plain) == extraction.main_text(several) == story
-    monkeypatch.setattr(extraction, "density", lambda chars, tags, link_chars, link_tags, share: float(link_chars))
-    assert "number 3" in extraction.main_text(plain)
+    monkeypatch.setattr(extraction, "density", lambda chars, tags, link_chars, link_tags, share: link_chars / max(1, tags))
+    assert "number 3" in extraction.main_text(plain) and story not in extraction.main_text(plain)
     assert "number 3" in extraction.main_text(several) and story not in extraction.main_text(several)
 
 
