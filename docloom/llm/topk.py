@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,127 +12,154 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import written
 
-#: Candidates of one block (their lists are sorted once for all queries of a cell) and queries of a cell.
-BLOCK, QUERIES = 2048, 512
-#: Candidates of one cell, the unit of work.
-CELL = 1 << 15
-#: Parts of the lists that are read before bounds are compared again.
-DEPTHS = (0.25, 0.5, 0.75, 1.0)
+#: Components of the candidates of one cell, the unit of work, whose lists are sorted once for all its queries; and those queries.
+CELL, QUERIES = 1 << 22, 1 << 13
+#: A list is read in so many batches at most; so many lists are read between two looks at the cursors.
+BATCHES, LISTS = 16, 16
+#: Bounds are compared whenever what the unread parts of the lists can add has fallen to this part.
+FALL = 0.85
+#: Whole numbers below this are exact doubles.
 _EXACT = float(1 << 53)
 
 
 class Lists:
-    """The sorted lists of a block of candidates: for each dimension, its values in descending order.
+    """The sorted lists of a cell's candidates: for each dimension, its values in descending and in ascending order.
 
-    Reading a list to some depth shows the candidates above the value reached. What a query would read from
-    the other end (its weight is negative) is read from the bottom.
+    A query reads a dimension's list from the end where its weight makes the values count most. Lists are cut in
+    batches of equal size; a cursor says how many batches of a list have been read.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        order = np.argsort(-vectors, 0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, order, 0)
-        self.place = np.empty_like(order)
-        np.put_along_axis(self.place, order, np.arange(len(ids))[:, None], 0)
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query: (its index, candidates, scores), among them its k best of this block that score `floor` or more.
-
-        All lists are read to one depth at a time. A seen value counts as it is, an unseen one at most the
-        value reached and at least the list's last. A candidate whose upper bound is below the k-th best lower
-        bound (or the floor) can't qualify any more; a query stops as soon as its remaining candidates are
-        few, and their final scores are resolved.
+    def __init__(self, vectors: np.ndarray):
+        self.vectors, (n, d) = vectors, vectors.shape
+        self.batch = max(1, -(-n // BATCHES))
+        self.batches = -(-n // self.batch)
+        order = np.argsort(-vectors.T, 1, kind="stable")
+        values = np.take_along_axis(vectors.T, order, 1)
+        place = np.empty((d, n), np.int64)
+        np.put_along_axis(place, order, np.arange(n)[None, :], 1)
+        fill = self.batches * self.batch - n
+        both = [(np.pad(order, ((0, 0), (0, fill)), constant_values=n), np.pad(values, ((0, 0), (0, fill)), mode="edge"))]
+        both.append((np.pad(order[:, ::-1], ((0, 0), (0, fill)), constant_values=n), np.pad(values[:, ::-1], ((0, 0), (0, fill)), mode="edge")))
+        shape = (2, d, self.batches, self.batch)
+        self.who = np.stack([x[0] for x in both]).reshape(shape)  # n stands for nobody
+        value = np.stack([x[1] for x in both]).reshape(shape)
+        self.head = np.concatenate([value[:, :, :, 0], value[:, :, -1:, -1]], 2)  # the first value of each batch, and the last of all
+        self.rise = np.abs(value - self.head[:, :, -1, None, None])  # above the list's last value
+        self.step = np.ascontiguousarray(np.concatenate([place // self.batch, (n - 1 - place) // self.batch]).astype(np.uint8).T)  # in which batch a candidate stands
+        self.entries_read = 0
+
+    def finalists(self, weights: np.ndarray, k: int, floor: float, own: int | None, slack: float = 0.0) -> np.ndarray:
+        """The candidates that can be among the query's k best (and score `floor` or more), by sequential reads alone.
+
+        A candidate's score lies between what has been seen of it and that plus, for each list in which it hasn't been
+        seen, what the next unread entry counts there. Lists are read where weight times drop over the next batch is
+        largest. A query stops once no more than a few candidates (4 k, or a sixteenth) have an upper bound that
+        reaches the k-th best lower bound: nobody else, seen or not, can qualify. slack: how far sums may be off.
         """
-        n = len(self.ids)
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        top, bottom = self.sorted[0], self.sorted[-1]
-        left = np.arange(len(queries))
-        for part in DEPTHS:
-            depth = max(1, min(n, round(part * n)))
-            from_top, from_bottom = self.place < depth, self.place >= n - depth
-            reached, risen = self.sorted[depth - 1], self.sorted[n - depth]
-            if depth == n:
-                lower = upper = queries[left] @ self.vectors.T
-            else:
-                a, b = up[left], down[left]
-                lower = a @ np.where(from_top, self.vectors, bottom).T + b @ np.where(from_bottom, self.vectors, top).T
-                upper = a @ np.where(from_top, self.vectors, reached).T + b @ np.where(from_bottom, self.vectors, risen).T
-            same = self.ids[None, :] == own[left, None]
-            lower = np.where(same, -np.inf, lower)
-            bound = floor[left]
-            if n > k:
-                bound = np.maximum(bound, np.partition(lower, n - k, 1)[:, n - k])
-            alive = (upper >= bound[:, None]) & ~same
-            few = alive.sum(1) <= max(4 * k, n // 8)
-            done = few if depth < n else np.ones(len(left), bool)
-            for i in np.flatnonzero(done):
-                rest = np.flatnonzero(alive[i])
-                yield int(left[i]), self.ids[rest], self.vectors[rest] @ queries[left[i]]
-            left = left[~done]
-            if not len(left):
-                return
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+        n, d = self.vectors.shape
+        side, weight, each = (weights < 0).astype(np.int64), np.abs(weights), np.arange(d)
+        lowest = self.head[side, each, -1]
+        left = weight[:, None] * np.abs(self.head[side, each] - lowest[:, None])  # what a list can still add, by cursor
+        base = float(lowest @ weights)
+        cursor, seen = np.zeros(d, np.int64), np.zeros(n + 1)
+        drop, now = left[:, :-1] - left[:, 1:], left[:, 0].copy()
+        gain = np.where(now > 0, drop[:, 0] + now * 1e-9, -1.0)
+        checked, few = math.inf, max(4 * k, n // 16)
+        while True:
+            rest = float(now.sum())
+            if rest <= FALL * checked or not (gain >= 0).any():
+                checked = rest
+                lower = seen[:n] if own is None else np.delete(seen[:n], own)
+                bound = floor - base
+                if len(lower) >= k:
+                    bound = max(bound, float(np.partition(lower, len(lower) - k)[len(lower) - k]))
+                bound -= 2 * slack
+                alive = np.flatnonzero(seen[:n] + rest >= bound)
+                if few < len(alive) <= n // 8:
+                    unseen = self.step[alive][:, side * d + each] >= cursor
+                    alive = alive[seen[alive] + unseen.astype(float) @ now >= bound]
+                if len(alive) <= few or not (gain >= 0).any():
+                    return alive if own is None else alive[alive != own]
+            lists = np.argpartition(-gain, LISTS)[:LISTS] if d > LISTS else each
+            lists = lists[gain[lists] >= 0]
+            at = side[lists], lists, cursor[lists]
+            seen += np.bincount(self.who[at].reshape(-1), (weight[lists, None] * self.rise[at]).reshape(-1), n + 1)
+            self.entries_read += int(np.minimum(self.batch, n - cursor[lists] * self.batch).sum())
+            cursor[lists] += 1
+            now[lists] = left[lists, cursor[lists]]
+            more = cursor[lists] < self.batches
+            gain[lists] = np.where(more & (now[lists] > 0), drop[lists, np.minimum(cursor[lists], self.batches - 1)] + now[lists] * 1e-9, -1.0)
+
+
+def search(lists: Lists, ids: np.ndarray, queries: np.ndarray, own: list[int | None], k: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """For each query (its index) the k best of the cell: places in it and exact scores, ties to the smaller id.
+
+    Components are whole numbers. Where products can leave the exact doubles, bounds are taken from vectors scaled by
+    powers of two, with slack for their rounding, and the finalists' scores are summed up in Python's integers.
+    """
+    vectors = lists.vectors
+    most = [float(np.abs(x).max()) if x.size else 0.0 for x in (vectors, queries)]
+    exact = math.frexp(most[0])[1] + math.frexp(most[1])[1] + max(1, vectors.shape[1]).bit_length() <= 53
+    if not exact:
+        scale = [math.ldexp(1.0, -max(-1000, min(1000, math.frexp(x)[1]))) for x in most]
+        lists, queries_ = Lists(vectors * scale[0]), queries * scale[1]
+    for q, weights in enumerate(queries):
+        if exact:
+            found = lists.finalists(weights, k, -math.inf, own[q])
+            scores = (vectors[found] @ weights).astype(np.int64).tolist()  # finalists in the order of the cell's rows
+        else:
+            found = lists.finalists(queries_[q], k, -math.inf, own[q], slack=4e-16 * vectors.shape[1] ** 2)
+            whole = [int(x) for x in weights]
+            scores = [sum(a * int(b) for a, b in zip(whole, v, strict=True)) for v in vectors[found].tolist()]
+        best = sorted(range(len(found)), key=lambda i: (-scores[i], ids[found[i]]))[:k]
+        yield q, found[best], [scores[i] for i in best]
+
+
+def sortable(score: int) -> bytes:
+    """Bytes that sort like integers of any size."""
+    size = (abs(score).bit_length() + 7) // 8
+    own = abs(score).to_bytes(size, "big")
+    return (0x8000 + size).to_bytes(2, "big") + own if score >= 0 else (0x8000 - size).to_bytes(2, "big") + bytes(255 - x for x in own)
+
+
+_RESULT = "query_row long, query_id long, vec_id long, row long, score long, rank_key binary"
 
 
 def _cell(k: int):
     def run(key, queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        ids, vectors = _arrays(candidates)
-        own, wanted = _arrays(queries)
-        if not len(ids) or not len(own):
-            return _result([], [], [])
-        width = max(vectors.shape[1], wanted.shape[1])
-        vectors, wanted = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (vectors, wanted))
-        if not width or np.abs(vectors).max() * np.abs(wanted).max() * width >= _EXACT:
-            return _in_integers(own, wanted, ids, vectors, k)
-        order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order]
-        held_ids, held_scores = [np.zeros(0, np.int64)] * len(own), [np.zeros(0)] * len(own)
-        floor = np.full(len(own), -np.inf)
-        for i in range(0, len(ids), BLOCK):
-            lists = Lists(ids[i : i + BLOCK], vectors[i : i + BLOCK])
-            for q, found, scores in lists.search(wanted, own, k, floor):
-                held_ids[q], held_scores[q] = _best(np.concatenate([held_ids[q], found]), np.concatenate([held_scores[q], scores]), k)
-                if len(held_ids[q]) == k:
-                    floor[q] = held_scores[q][-1]
-        return _result(np.repeat(own, [len(x) for x in held_ids]), np.concatenate(held_ids), np.concatenate(held_scores))
+        rows, ids, vectors = _arrays(candidates)
+        query_rows, query_ids, wanted = _arrays(queries)
+        out: list[list] = [[], [], [], [], [], []]
+        if len(ids) and len(query_ids):
+            width = max(1, vectors.shape[1], wanted.shape[1])
+            vectors, wanted = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (vectors, wanted))
+            order = np.lexsort((rows, ids))
+            rows, ids, vectors = rows[order], ids[order], vectors[order]
+            place = {r: i for i, r in enumerate(rows.tolist())}
+            for q, found, scores in search(Lists(vectors), ids, wanted, [place.get(r) for r in query_rows.tolist()], k):
+                own = [[int(query_rows[q])] * len(found), [int(query_ids[q])] * len(found), ids[found].tolist(), rows[found].tolist()]
+                for held, new in zip(out, [*own, [max(-(1 << 63), min((1 << 63) - 1, s)) for s in scores], [sortable(s) for s in scores]], strict=True):
+                    held += new
+        return pa.table([pa.array(x, pa.binary() if i == 5 else pa.int64()) for i, x in enumerate(out)], [x.split()[0] for x in _RESULT.split(", ")])
 
     return run
 
 
-def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     vectors = table.column("vector").combine_chunks()
     lengths = vectors.value_lengths().to_numpy() if len(vectors) else np.zeros(0, np.int64)
     flat = vectors.flatten().to_numpy()
     out = np.zeros((len(lengths), int(lengths.max()) if len(lengths) else 0))
     out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = flat
-    return table.column("vec_id").to_numpy(), out
-
-
-def _result(queries, ids, scores) -> pa.Table:
-    return pa.table({"query_id": pa.array(queries, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(np.asarray(scores, np.int64), pa.int64())})
-
-
-def _in_integers(own: np.ndarray, wanted: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pa.Table:
-    """For components too large for exact doubles: whole lists, Python's integers; scores outside a long become its ends."""
-    exact = [[int(x) for x in v] for v in vectors]
-    rows: list[tuple[int, int, int]] = []
-    for q, v in zip(own.tolist(), wanted, strict=True):
-        w = [int(x) for x in v]
-        found = [(-sum(a * b for a, b in zip(w, e, strict=True)), int(i)) for i, e in zip(ids, exact, strict=True) if i != q]
-        rows += [(q, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in sorted(found)[:k]]
-    return _result([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+    return table.column("row").to_numpy(), table.column("vec_id").to_numpy(), out
 
 
 def scaled(vectors: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector of whole doubles): floor(scale * x); without null ids, vectors that are null or hold null or non-finite components; one vector per id (the least)."""
+    """(vec_id, vector of whole doubles): floor(scale * x); without null ids, and vectors that are null or of which a component, or its `scale`-fold, is null or not finite."""
     x = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).filter(finite_of("x"))
-    rows = rows.select("vec_id", F.transform("x", lambda v: rounded_down(v * F.lit(float(scale)))).alias("vector"))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull())
+    rows = rows.select("vec_id", F.transform("x", lambda v: v * F.lit(float(scale))).alias("x")).filter(finite_of("x"))
+    return rows.select("vec_id", F.transform("x", rounded_down).alias("vector"))
 
 
 def finite_of(name: str):
@@ -140,26 +168,29 @@ def finite_of(name: str):
 
 def rounded_down(v):
     """floor as a double, also beyond the range of a long."""
-    return F.when(F.abs(v) < F.lit(float(1 << 53)), F.floor(v).cast("double")).otherwise(v)
+    return F.when(F.abs(v) < F.lit(_EXACT), F.floor(v).cast("double")).otherwise(v)
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k candidates with the highest inner products for each query: query_id, rank (from 1), vec_id, score.
 
-    Queries are the vectors whose id is divisible by `every`, candidates all but the query itself. Ties go to
-    the smaller id; a query with fewer candidates gets all. Vectors that are null, or hold null or non-finite
-    components, and null ids take no part; rows that share an id count once (least vector); shorter vectors
-    count as if filled up with zeros, empty ones score 0. Other columns aren't read; an empty table gives
-    an empty result.
+    Queries are the rows whose id is divisible by `every`, candidates all rows but the query's own. Ties go to
+    the smaller id; a query with fewer candidates gets all. Vectors that are null, or hold components that are null
+    or not finite (before or after scaling), and null ids take no part; rows that share an id, or are equal, are
+    queries and candidates of their own; shorter vectors count as if filled up with zeros, empty ones score 0.
+    Ranks are by exact scores; a score beyond the range of a long is shown as that range's end. Other columns aren't
+    read; an empty table gives an empty result.
 
-    Queries and candidates are dealt to a grid of cells of at most about QUERIES x CELL; each cell searches
-    block by block, what it has found so far being the floor for the next block, and returns k rows a query.
+    Queries and candidates are dealt to a grid of cells of at most about QUERIES queries and candidates of CELL components, each of which
+    returns k rows a query.
     """
-    rows = written(scaled(vectors, scale, id_col, vector_col), "vectors")
-    n, q = rows.count(), rows.filter(F.pmod("vec_id", F.lit(every)) == 0).count()
-    down, across = max(1, -(-q // QUERIES)), max(1, -(-n // CELL), min(-(-n // BLOCK), -(-24 // max(1, -(-q // QUERIES)))))
-    one = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(down)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    other = rows.withColumn("c", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(across)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    found = one.groupBy("r", "c").cogroup(other.groupBy("r", "c")).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    rows = written(scaled(vectors, scale, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asked = F.pmod("vec_id", F.lit(every)) == 0
+    n, q, width = rows.agg(F.count(F.lit(1)), F.count_if(asked), F.max(F.size("vector"))).first()
+    across = max(1, -(-n * (width or 1) // CELL))
+    down = max(1, -(-q // QUERIES), min(-(-q // 64), -(-rows.sparkSession.sparkContext.defaultParallelism // across)))
+    one = rows.filter(asked).withColumn("r", F.pmod(F.xxhash64("row"), F.lit(down)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    other = rows.withColumn("c", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(across)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    found = one.groupBy("r", "c").cogroup(other.groupBy("r", "c")).applyInArrow(_cell(k), _RESULT)
+    order = Window.partitionBy("query_row").orderBy(F.col("rank_key").desc(), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

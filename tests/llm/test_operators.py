@@ -295,36 +295,42 @@ def test_top_k(spark):
     rows += [(1000, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1), (1020, [float("nan")] * 6, 1), (1040, None, 1), (None, [1.0] * 6, 1), (1060, [], 1), (1080, [2.0, 1.0], 1), (rows[0][0], rows[0][1], 1)]
     rows += [(2000 + i, [3.0] * 6, 1) for i in range(50)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score long")
-    vectors = {}
+    vectors = []
     for i, e, _ in rows:
         if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
             v = np.zeros(6, np.int64)
             v[: len(e)] = np.floor(64 * np.array(e, float)).astype(np.int64)
-            vectors[i] = v
+            vectors.append((i, v))
     want = []
-    for q in vectors:
+    for row, (q, w) in enumerate(vectors):
         if q % 20 == 0:
-            best = sorted((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q)[:20]
+            best = sorted((-int(w @ v), i) for k, (i, v) in enumerate(vectors) if k != row)[:20]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
 def test_top_k_of_huge_components(spark):
-    df = spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, -1.0]), (2, [-1e300, 0.0])], "vec_id long, embedding array<double>")
-    got = topk.top_k(df).collect()
-    assert [(r.vec_id, r.rank) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1), (2, 2)]
-
-
-def test_nra_stops_early_and_is_exact():
+    rows = [(0, [1e15, 1.0]), (1, [1e15, -1.0]), (2, [-1e300, 0.0]), (3, [1e15, 3.0]), (4, [1e15, 2.0]), (5, [1e308, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    # scores of 1, 3 and 4 are beyond a long, and differ in the last digits only; 64 times the last vector isn't finite
+    assert [(r.vec_id, r.rank) for r in sorted(got, key=lambda r: r.rank)] == [(3, 1), (4, 2), (1, 3), (2, 4)]
+    assert [r.score for r in sorted(got, key=lambda r: r.rank)] == [(1 << 63) - 1] * 3 + [-(1 << 63)]
+    numbers = [0, 1, -1, 255, 256, -255, -256, 1 << 900, -(1 << 900), 12345678901234567890]
+    assert sorted(numbers) == sorted(numbers, key=topk.sortable)
+
+
+@pytest.mark.parametrize("decay, most", [(0.6, 0.5), (0.9, 0.9), (1.0, 1.0)])
+def test_nra_stops_early_and_is_exact(decay, most):
+    """With a decaying spectrum only a part of the lists' entries is read."""
     rnd = np.random.default_rng(9)
-    vectors = np.round(rnd.normal(size=(500, 3)) ** 3 * 50)
-    lists = topk.Lists(np.arange(500), vectors)
-    queries = np.round(rnd.normal(size=(20, 3)) * 50)
-    for q, ids, scores in lists.search(queries, np.full(20, -1), 5, np.full(20, -np.inf)):
-        want = sorted(zip(-(vectors @ queries[q]), range(500), strict=True))[:5]
-        got_ids, got_scores = topk._best(ids, scores, 5)
-        assert [(-s, i) for s, i in want] == list(zip(got_scores.tolist(), got_ids.tolist(), strict=True))
+    vectors = np.round(rnd.normal(size=(4000, 32)) * 500 * decay ** np.arange(32))
+    lists = topk.Lists(vectors)
+    queries = np.round(rnd.normal(size=(20, 32)) * 500 * decay ** np.arange(32))
+    for q, found, scores in topk.search(lists, np.arange(4000), queries, [None] * 19 + [7], 5):
+        want = sorted((-int(s), i) for i, s in enumerate(vectors @ queries[q]) if q < 19 or i != 7)[:5]
+        assert [(-s, i) for s, i in want] == [(s, i) for s, i in zip(scores, found.tolist(), strict=True)]
+    assert lists.entries_read <= most * 20 * vectors.size
 
 
 def _batch(texts):
