@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import U, mixed, pieces, shingles, tidy, written
+from docloom.llm.common import U, dropped, mixed, pieces, shingles, tidy, written
 
 #: 32 bands of 5 rows: a pair of similarity 0.8 shares no band with probability 0.000003.
 BANDS, ROWS = 32, 5
@@ -18,8 +18,8 @@ BITS = 2
 #: Two bits agree by chance with probability 1/4; at similarity 0.8 the corrected estimate's standard deviation is
 #: 0.038, so that it falls below similarity - SLACK with probability 0.00002 or less, and only for pairs on the limit.
 SLACK = 0.16
-#: Members of a band's bucket that are compared at once; larger buckets are compared chunk by chunk.
-CHUNK = 1024
+#: Members of a band's bucket that are compared at once, and bytes of their sets; larger buckets are compared chunk by chunk.
+CHUNK, CHUNK_BYTES = 1024, 64 << 20
 
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
@@ -201,8 +201,10 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
         # a label is the id of a node, so it has a label itself
         step = written(step.join(jump, "comp", "left").select("rep", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp")), "labels")
+        dropped(labels)
         labels = step.select("rep", "comp")
         if not step.filter("was <> comp").limit(1).count():
+            dropped(both)
             return labels
 
 
@@ -217,7 +219,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
     most similar first, so that no link between components is missed that the bands show. That task returns
     links, not pairs; members of one component and copies aren't compared.
 
-    Empty or null text and text without words: n_shingles 0, a group of its own. Null ids take no part:
+    Sets hold 64-bit hashes of shingles, which are no linear function of their letters (common.Spans). Empty or null
+    text and text without words: n_shingles 0, a group of its own. Texts of any length are taken whole. Null ids take no part:
     component_id null, kept true. Rows that share an id are one node with several sets; links of each
     count. Other columns aren't read; an empty table gives an empty result. Ties don't matter.
     """
@@ -227,9 +230,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
     base = written(docs.mapInArrow(tidy(_base(width)), "id long, n long, h1 long, h2 long, bands array<long>, sig binary"), "minhash")
     sets = base.filter("n > 0 and id is not null")
     reps = written(sets.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
-    keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    hubs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("hub")).filter("m > 1")
-    members = written(keys.join(hubs, "key"), "buckets")
+    keys = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    hubs = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min("rep").alias("hub")).filter("m > 1"), "hubs")
+    members = written(keys.drop("n").join(hubs, "key"), "buckets")
     some = members.select("rep").distinct()
     small = written(reps.join(some, "rep", "left_semi").select("rep", "sig", "bands"), "sigs")
     texts = docs.join(some.withColumnRenamed("rep", "id"), "id", "left_semi")
@@ -253,9 +256,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
 
     links = confirmed(likely(members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()), "links")
     labels = components(links)
-    now = members.join(labels, "rep", "left").select("key", "band", "rep", "m", F.coalesce("comp", "rep").alias("comp"))
+    now = members.join(labels, "rep", "left").select("key", "band", "rep", "m", "total", F.coalesce("comp", "rep").alias("comp"))
     split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    chunked = now.join(split, "key").withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("c")).cast("int"))
+    chunked = now.join(split, "key").withColumn("c", F.ceil(F.greatest(F.col("m") / CHUNK, 8 * F.col("total") / CHUNK_BYTES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("c")).cast("int"))
     placed = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select(
         "key", "band", "rep", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), F.lit(2)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side")
     )
@@ -265,6 +268,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
     more = involved.join(held, "rep").groupBy("key", "i", "j").applyInArrow(_settled(least, percent), "a long, b long")
     links = written(links.unionByName(more), "links")
     labels = components(links)
+    dropped(hubs, members, small, held, involved, links)
     classes = reps.select("h1", "h2", "n", "rep").join(labels, "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp"))
     own = base.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
     out = own.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))

@@ -5,38 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD, shuffle_partitions, written
+from docloom.llm.common import WORD, dropped, shuffle_partitions, written
 
-#: Targets of up to this many sources are computed by the driver, of more by windows over a table of sources.
-MOST_SOURCES = 100_000
+#: Rows of one range partition of the queue, about.
+RANGE_ROWS = 2_000_000
 #: Documents of one source are summed up in parts of about this many.
 PART_ROWS = 50_000
 
 
-def shared_out(sizes: list[int], weights: list[float], budget: float, most: float = 2.0) -> list[float]:
-    """Targets in proportion to weights that add up to the budget, none above `most` times its size.
+def shared_out(sums: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
+    """Targets in proportion to weights that add up to the budget, none above `most` times its source's size: (source, size) to source, source_rank, source_size, target.
 
-    What a source can't take is shared among the others by weight, until none is above. With s the capped
-    sources, every other one gets level * weight, where level = (budget - their caps) / (others' weights).
+    What a source can't take is shared among the others by weight, until none is above. In order of cap / weight,
+    every source from the first on whose cap is above it gets level * weight, where level = (budget - the caps before) /
+    (the other sources' weights). One row per source, and nothing else, goes through one task's sort.
     """
-    caps = [most * s for s in sizes]
-    order = sorted(range(len(sizes)), key=lambda i: (caps[i] / weights[i], i))
-    left, shares = float(budget), float(sum(weights))
-    out = [0.0] * len(sizes)
-    for k, i in enumerate(order):
-        level = left / shares
-        if caps[i] / weights[i] > level:
-            for j in order[k:]:
-                out[j] = level * weights[j]
-            return out
-        out[i] = caps[i]
-        left -= caps[i]
-        shares -= weights[i]
-    return out
-
-
-def shared_out_table(sums: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
-    """shared_out() by windows: (source, size) to source, source_rank, source_size, target. One row per source goes through one task."""
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     given = F.array(*[F.lit(float(w)) for w in weights])
     ranked = sums.select("source", F.col("size").alias("source_size"), (F.row_number().over(order) - 1).alias("source_rank"))
@@ -62,8 +45,8 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     taken stay within the budget. Documents are taken whole, so a source ends within one document of its
     target. Documents of size 0 aren't queued (taken 0). Ties in time go by source, hash and id; repeated rows
     are documents of their own; null ids queue like others; an empty table gives an empty result. Nothing but
-    one row per source (of at most MOST_SOURCES) and one per sort partition reaches the driver. Other columns
-    aren't read, but for row_cols: these order equal rows and stand in the result.
+    two totals and one row per sort partition reaches the driver. Other columns aren't read, but for row_cols:
+    these order equal rows and stand in the result.
     """
     spark = documents.sparkSession
     base = documents.select(
@@ -71,19 +54,11 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
     )
     base = written(base.withColumn("turn", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")).cast("binary"))), "mix-sizes")
-    by_source = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    sums = by_source.limit(MOST_SOURCES + 1).collect()
-    if len(sums) > MOST_SOURCES:
-        by_source = written(by_source, "mix-sources")
-        total, rows = by_source.agg(F.sum("size"), F.sum("n")).first()
-        budget = share * total
-        table = written(shared_out_table(by_source, weights, budget, most), "mix-targets")
-    else:
-        sums.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-        total, rows = sum(r.size for r in sums), sum(r.n for r in sums)
-        budget = share * total
-        targets = shared_out([r.size for r in sums], [weights[i % len(weights)] for i in range(len(sums))], budget, most)
-        table = F.broadcast(spark.createDataFrame([(r.source, i, r.size, float(t)) for i, (r, t) in enumerate(zip(sums, targets, strict=True))], "source string, source_rank int, source_size long, target double"))
+    by_source = written(base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "mix-sources")
+    total, rows = by_source.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    budget = share * total
+    # broadcast only if it is small, as the size of its files tells
+    table = written(shared_out(by_source, weights, budget, most), "mix-targets")
     docs = base.join(table, base["source"].eqNullSafe(table["source"])).drop(table["source"])
     digits = 1
     while rows / 16**digits > PART_ROWS:
@@ -99,7 +74,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     copies = copies.withColumn("finish", F.col("upto").cast("double") / F.col("target")).filter((F.col("upto") - F.col("size")).cast("double") < F.col("target"))
     keys = ["finish", "source_rank", "turn", "doc_id", "copy"]
     columns = ["doc_id", "source_rank", "size", "turn", "copy", "finish"]
-    ordered = copies.select(*columns).repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("pid", F.spark_partition_id())
+    ordered = copies.select(*columns).repartitionByRange(max(shuffle_partitions(spark), -(-rounds * rows // RANGE_ROWS)), *keys).sortWithinPartitions(*keys).withColumn("pid", F.spark_partition_id())
     ordered = written(ordered, "mix-order")
     loads = ordered.groupBy("pid").agg(F.sum("size")).collect()  # one row per partition of the sort
     taken, cut = 0, None
@@ -114,7 +89,8 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
         part = ordered.filter(F.col("pid") == cut).withColumn("upto", upto).filter(F.col("upto") + F.lit(taken) <= F.lit(budget)).drop("upto")
         whole = whole.unionByName(part)
     # equal rows share what their group takes: equal parts, and one copy more for the first of them
-    per_copy = whole.groupBy("doc_id", "turn", "size", "source_rank").agg(F.sum("size").alias("sum_taken"))
+    per_copy = written(whole.groupBy("doc_id", "turn", "size", "source_rank").agg(F.sum("size").alias("sum_taken")), "mix-taken")
+    dropped(ordered, by_source)
     same = Window.partitionBy("turn", "doc_id", "size", "source_rank")
     numbered = docs.withColumn("_k", F.row_number().over(same.orderBy("turn", *row_cols))).withColumn("_n", F.count(F.lit(1)).over(same))
     out = numbered.alias("d").join(
@@ -128,10 +104,15 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 
 
 def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: each document as often as mix() takes it, columns as they are."""
-    columns = documents.columns
-    rows = written(documents.withColumns({"_mix_tie": F.xxhash64(*[f"`{c}`" for c in columns]), "_mix_row": F.monotonically_increasing_id()}), "mix-rows")
-    taken = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_cols=("_mix_tie", "_mix_row"), **options).filter("taken > 0")
-    times = taken.select("_mix_row", F.expr("int(taken div size)").alias("_times"))
-    joined = rows.join(times, "_mix_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[f"`{c}`" for c in columns])
+    """The mix itself: each document as often as mix() takes it, columns as they are, whatever their names.
+
+    Documents without words, and null texts, aren't in it. Of rows that share an id, or are equal, each comes as
+    often as the mix takes it; ties are broken as in mix(). An empty table gives an empty one.
+    """
+    columns = [f"`{c}`" for c in documents.columns]
+    own = {"id": id_col, "text": text_col, "source": source_col}
+    rows = documents.select(F.struct(*columns).alias("row"), *[F.col(f"`{c}`").alias(k) for k, c in own.items()], F.xxhash64(*columns).alias("tie"), F.monotonically_increasing_id().alias("number"))
+    rows = written(rows, "mix-rows")
+    taken = mix(rows, id_col="id", row_cols=("tie", "number"), **options).filter("taken > 0")
+    joined = rows.select("row", "number").join(taken.select("number", F.expr("int(taken div size)").alias("times")), "number")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"row.{c}") for c in columns])

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm.common import SPACE, Spans, U, mixed, pieces, tidy, word_spans
 
@@ -330,11 +331,12 @@ def keep_good(documents: DataFrame, field: Field, text_col: str = "text") -> Dat
     Null and empty texts fail the base rule and go; texts of any length are judged whole; null ids and repeated
     rows are judged like others; there are no ties; an empty table gives an empty one.
     """
-    names = documents.columns
+    columns = [f"`{c}`" for c in documents.columns]
+    rows = documents.select(F.struct(*columns).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, at in pieces(batch, text_col):
-                yield part.filter(judged(data, at, field)[-1])
+            for part, data, at in pieces(batch, "text"):
+                yield part.select(["row"]).filter(judged(data, at, field)[-1])
 
-    return documents.mapInArrow(tidy(run), documents.schema).select(*[f"`{n}`" for n in names])
+    return rows.mapInArrow(tidy(run), T.StructType([rows.schema["row"]])).select(*[F.col(f"row.{c}") for c in columns])

@@ -253,9 +253,29 @@ def test_mix(spark, docs, empty):
     assert copies.columns == docs.columns and copies.count() == sum(r.taken // r.size for r in got if r.size)
 
 
-def test_targets():
-    assert mixing.shared_out([100, 100, 100], [5, 2, 1], 450) == pytest.approx([200, 500 / 3, 250 / 3])
-    assert mixing.shared_out([0, 10], [5, 1], 15) == pytest.approx([0, 15])
+def test_targets(spark):
+    def shared_out(sizes, weights, budget):
+        sums = spark.createDataFrame([(f"{i:03d}", x) for i, x in enumerate(sizes)], "source string, size long")
+        return [r.target for r in sorted(mixing.shared_out(sums, weights, budget, 2.0).collect())]
+
+    assert shared_out([100, 100, 100], (5, 2, 1), 450) == pytest.approx([200, 500 / 3, 250 / 3])
+    assert shared_out([0, 10], (5, 1), 15) == pytest.approx([0, 15])
+    rnd = random.Random(2)
+    sizes = [rnd.randint(0, 50) for _ in range(200)]
+    got = shared_out(sizes, (5, 2, 1), 1.5 * sum(sizes))
+    # brute force: share out, cap, share the excess again
+    want, left, free = [0.0] * 200, 1.5 * sum(sizes), set(range(200))
+    while True:
+        level = left / sum((5, 2, 1)[i % 3] for i in free)
+        over = {i for i in free if level * (5, 2, 1)[i % 3] >= 2 * sizes[i]}
+        if not over:
+            break
+        for i in over:
+            want[i] = 2.0 * sizes[i]
+        left, free = left - sum(want[i] for i in over), free - over
+    for i in free:
+        want[i] = level * (5, 2, 1)[i % 3]
+    assert got == pytest.approx(want)
 
 
 def test_shards(spark, docs, empty):
@@ -459,15 +479,6 @@ def test_mix_by_row(spark):
     assert sum(len(r.text.split()) for r in copies) <= 0.6 * sum(len(t.split()) for _, t, _ in rows)
 
 
-def test_targets_of_many_sources(spark, docs, monkeypatch):
-    order = lambda df: sorted(df.collect(), key=repr)
-    few = order(mixing.mix(docs))
-    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
-    many = order(mixing.mix(docs))
-    assert [(r.doc_id, r.source, r.size, r.taken) for r in few] == [(r.doc_id, r.source, r.size, r.taken) for r in many]
-    assert [r.target for r in many] == pytest.approx([r.target for r in few])
-
-
 STORY = "<p>" + "This is a sentence of the story, which goes on for a while as stories do. " * 4 + "</p>"
 
 
@@ -510,7 +521,7 @@ def test_densities_against_brute_force():
 
     def tree(depth):
         tag = rnd.choice(["div", "section", "span", "a", "b"])
-        inner = [tree(depth - 1) if depth and rnd.random() < 0.6 else rnd.choice(["", "xy z", "words of text "]) for _ in range(rnd.randint(0, 4))]
+        inner = [tree(depth - 1) if depth and rnd.random() < 0.6 else rnd.choice(["", "xy z", "words of text"]) for _ in range(rnd.randint(0, 4))]
         return (tag, inner)
 
     def markup(t):

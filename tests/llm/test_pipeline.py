@@ -54,3 +54,30 @@ def test_one_row_of_each_group_stays(spark):
     assert left == sorted([(7, text(1)), (0, text(2)), (3, text(3)), (9, text(4)), (5, ""), (5, ""), (0, "")])
     out = corpus_pipeline.repeated_passages(spark, near, SF).collect()
     assert sorted(r.text for r in out if r.text) == sorted(text(k) for k in (1, 2, 3, 4))
+
+
+CLASHING = "gone_id long, _times long, _copy int, _row long, number long, row string, tie long, id long, times int, copy int, size long, `a.b` string"
+
+
+def test_stages_with_odd_rows_and_columns(spark, tmp_path):
+    """Nulls, repeated rows, columns with clashing names: every stage gives whole rows, columns as they were."""
+    text = lambda k: " ".join(f"word{k}x{i * i % 97}" for i in range(60)) + "."
+    rows = [(i, text(i), f"s{i % 3}", "en", 9) for i in range(12)] + [(3, text(3), "s0", "en", 9)] * 2 + [(None, text(50), None, None, None), (None, None, None, None, None), (13, "", "s1", "en", 0), (14, None, "s1", "en", 0)]
+    extra = (1, 2, 3, 4, 5, "r", 6, 7, 8, 9, 10, "z")
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], f"doc_id long, text string, source string, lang string, n_chars long, {CLASHING}").repartition(3)
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path)).cache()
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0, name
+        if k < 4:
+            assert out.columns == docs.columns == none.columns, name
+            assert all(tuple(r)[5:] == extra for r in out.collect()), name
+        if k == 0:
+            assert out.count() == 15  # null and empty texts go
+        elif k == 1:
+            assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([*[(i, text(i)) for i in range(12)], (0, text(50)), (0, ""), (13, ""), (14, "")])
+        elif k == 2:
+            assert out.filter("doc_id = 3").count() == 0 and out.count() == 15  # the repeated row's text is long enough to go
+        elif k == 4:
+            assert out.count() == docs.count() and out.filter("not round_trip").count() == 0
