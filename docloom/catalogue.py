@@ -166,13 +166,21 @@ def _text() -> dict:
     }
 
 
+#: By the parts of the number, not by one pattern: an exponent has digits, the rest is an optional sign, digits, point, digits.
+_MANTISSA = "regexp_replace(string_split(lower(value), 'e')[1], '^[-+]', '')"
+_FLOATING = (
+    "(value NOT IN ('', '.', ',', '-', '+') AND len(string_split(lower(value), 'e')) <= 2 AND NOT contains(value, chr(10)) AND len(string_split(" + _MANTISSA + ", '.')) <= 2 AND translate(" + _MANTISSA + ", '0123456789.', '') = ''"
+    " AND (len(string_split(lower(value), 'e')) = 1 OR (translate(regexp_replace(string_split(lower(value), 'e')[2], '^[-+]', ''), '0123456789', '') = '' AND regexp_replace(string_split(lower(value), 'e')[2], '^[-+]', '') <> '')))"
+)
+
+
 def _numbers() -> dict:
     n = "coalesce(TRY_CAST(value AS DECIMAL(38,0)), 99999999999999999999999999999999999999::DECIMAL(38,0))"
     whole = _rx("^[-+]?[0-9]+$")
-    floating = f"({_rx('^[-+]?([0-9]+)?([.][0-9]*)?([eE][+-]?([0-9]+)?)?$')} AND value NOT IN ('', '.', ',', '-', '+'))"
+    floating = _FLOATING
     head = r"TRY_CAST(nullif(regexp_extract(value, '^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE)"
     return {
-        "int": (V_.is_int("value"), whole),
+        "int": (V_.is_int("value"), "translate(regexp_replace(value, '^[-+]', ''), '0123456789', '') = '' AND regexp_replace(value, '^[-+]', '') <> ''"),
         "int_plain": (V_.is_int("value", leading_zeroes=False), _rx("^[-+]?(0|[1-9][0-9]*)$")),
         "int_bounds": (V_.is_int("value", least=10, lt=5000), _if(whole, f"{n} >= 10 AND {n} < 5000")),
         "port": (V_.is_port("value"), _if(_rx("^[-+]?(0|[1-9][0-9]*)$"), f"{n} BETWEEN 0 AND 65535")),
@@ -182,8 +190,8 @@ def _numbers() -> dict:
         "decimal_comma": (V_.is_decimal("value", "de-DE"), f"{_rx('^[-+]?([0-9]+)?([,][0-9]+)?$')} AND replace(value, ' ', '') NOT IN ('', '-', '+')"),
         "numeric": (V_.is_numeric("value"), _rx(V.PATTERNS["numeric"])),
         "digits": (V_.is_numeric("value", True), _rx("^[0-9]+$")),
-        "hexadecimal": (V_.is_hexadecimal("value"), _rx(V.PATTERNS["hexadecimal"])),
-        "octal": (V_.is_octal("value"), _rx(V.PATTERNS["octal"])),
+        "hexadecimal": (V_.is_hexadecimal("value"), "regexp_replace(lower(value), '^0[xh]', '') <> '' AND translate(regexp_replace(lower(value), '^0[xh]', ''), '0123456789abcdef', '') = ''"),
+        "octal": (V_.is_octal("value"), "regexp_replace(lower(value), '^0o', '') <> '' AND translate(regexp_replace(lower(value), '^0o', ''), '01234567', '') = ''"),
         "divisible_by_7": (V_.is_divisible_by("value", 7), _if(floating, f"{head} % 7 = 0")),
     }
 
@@ -285,7 +293,7 @@ def _converters() -> dict:
         esc = f"replace({esc}, {_lit(c)}, {_lit(r)})"
     for c, r in (*C.REFERENCES[1:], C.REFERENCES[0]):
         une = f"replace({une}, {_lit(r)}, {_lit(c)})"
-    floating = f"({_rx('^[-+]?([0-9]+)?([.][0-9]*)?([eE][+-]?([0-9]+)?)?$')} AND value NOT IN ('', '.', ',', '-', '+'))"
+    floating = _FLOATING
     head = r"TRY_CAST(nullif(regexp_extract(value, '^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE)"
     return {
         "blacklist": (C_.blacklist("value", "aeiou"), "regexp_replace(value, '[aeiou]+', '', 'g')"),
@@ -429,13 +437,15 @@ def graph_longest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).longest_path_ranks()
 
 
-@query("WITH o AS (SELECT n_regionkey AS g, n_nationkey AS v FROM nation), e AS (SELECT n_regionkey AS g, n_nationkey AS v, (n_nationkey * 7 + 3) % 25 AS w FROM nation) SELECT a.g AS graph_id, sum(1)::BIGINT AS crossings FROM e a JOIN e b ON a.g = b.g AND a.v < b.v AND a.w > b.w GROUP BY a.g")
+@query("WITH e AS (SELECT c_mktsegment AS g, c_custkey AS v, c_custkey * 7919 % 1009 AS w, c_custkey % 3 + 1 AS k FROM customer) SELECT a.g AS graph_id, sum(a.k * b.k)::BIGINT AS crossings FROM e a JOIN e b ON a.g = b.g AND a.v < b.v AND a.w > b.w GROUP BY a.g")
 def graph_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("graph_id"), F.col("n_nationkey").alias("v"), (F.lit(100) + (F.col("n_nationkey") * 7 + 3) % 25).alias("w"))
-    upper = e.select("graph_id", "v", F.lit(0).alias("layer"), F.col("v").alias("pos"))
-    lower = e.select("graph_id", F.col("w").alias("v"), F.lit(1).alias("layer"), F.col("w").alias("pos"))
+    """Customers in order of their keys above, 1009 places below, an edge from each, of weight 1 to 3."""
+    own = _read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("graph_id"), F.col("c_custkey").alias("v"), (F.col("c_custkey") * 7919 % 1009).alias("pos"), (F.col("c_custkey") % 3 + 1).alias("weight"))
+    edges = own.select("graph_id", F.concat(F.lit("u"), "v").alias("v"), F.concat(F.lit("l"), "pos").alias("w"), "weight", F.lit(None).cast("string").alias("name"))
+    upper = own.select("graph_id", F.concat(F.lit("u"), "v").alias("v"), F.lit(0).alias("layer"), F.col("v").alias("pos"))
+    lower = own.select("graph_id", F.concat(F.lit("l"), "pos").alias("v"), F.lit(1).alias("layer"), "pos").distinct()
     order = upper.unionByName(lower)
-    return Graph(order.select("graph_id", "v"), e.withColumn("name", F.lit(None).cast("string"))).crossings(order)
+    return Graph(order.select("graph_id", "v"), edges).crossings(order)
 
 
 _COUNTED = "a article body br div footer h1 head html li meta nav p script style title ul".split()
@@ -497,14 +507,20 @@ def _checkpoints(spark: SparkSession) -> None:
     if not ctx._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
-        ctx.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not ctx.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        ctx.setCheckpointDir(at or tempfile.mkdtemp(prefix="docloom-"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from docloom import more_queries  # noqa: F401  (registers its queries here)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     out = {k: v for k, v in _SQL.items() if v}
     for name, columns in _FAMILIES.items():
         own = columns()

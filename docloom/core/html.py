@@ -123,14 +123,18 @@ def walk(root: Node) -> Iterator[Node]:
 
 
 def node_rows(html: str) -> list[dict]:
-    """One row for each node in document order; top-level nodes have depth 1 and parent 0."""
+    """One row for each node in document order; top-level nodes have depth 1 and parent 0; last_id is the last node below it, or its own."""
     root = parse(html)
     number, depth, place, out = {id(root): 0}, {id(root): 0}, {}, []
     for i, node in enumerate(walk(root), 1):
         key, up = id(node), id(node.parent)
         number[key], depth[key] = i, depth[up] + 1
         place[up] = place.get(up, -1) + 1
-        out.append({"node_id": i, "parent_id": number[up], "depth": depth[key], "pos": place[up], "kind": node.kind, "name": node.name, "attrs": list(node.attrs.items()), "data": node.data})
+        out.append({"node_id": i, "parent_id": number[up], "last_id": i, "depth": depth[key], "pos": place[up], "kind": node.kind, "name": node.name, "attrs": list(node.attrs.items()), "data": node.data})
+    for row in reversed(out):
+        if row["parent_id"]:
+            up = out[row["parent_id"] - 1]
+            up["last_id"] = max(up["last_id"], row["last_id"])
     return out
 
 

@@ -18,8 +18,38 @@ ALPHABETS = {
     "en-US": "A-Za-z", "de-DE": "A-Za-zÄÖÜäöüß", "fr-FR": "A-Za-zÀÂÆÇÉÈÊËÏÎÔŒÙÛÜŸàâæçéèêëïîôœùûüÿ", "es-ES": "A-Za-zÁÉÍÑÓÚÜáéíñóúü", "it-IT": "A-Za-zÀÉÈÌÎÓÒÙàéèìîóòù",
     "nl-NL": "A-Za-zÁÉËÏÓÖÜÚáéëïóöüú", "da-DK": "A-Za-zÆØÅæøå", "nb-NO": "A-Za-zÆØÅæøå", "nn-NO": "A-Za-zÆØÅæøå", "sv-SE": "A-Za-zÅÄÖåäö", "fi-FI": "A-Za-zÅÄÖåäö",
     "pl-PL": "A-Za-zĄĆĘŚŁŃÓŻŹąćęśłńóżź", "cs-CZ": "A-Za-zÁČĎÉĚÍŇÓŘŠŤÚŮÝŽáčďéěíňóřšťúůýž", "sl-SI": "A-Za-zČĆĐŠŽčćđšž", "ru-RU": "А-ЯЁа-яё", "bg-BG": "А-Яа-я", "he": "א-ת",
+    "az-AZ": "A-VXYZa-vxyzÇƏĞİıÖŞÜçəğiöşü", "el-GR": "Α-ώ", "fa-IR": "ابپتثجچحخدذرزژسشصضطظعغفقکگلمنوهی", "ja-JP": "ぁ-んァ-ヶｦ-ﾟ一-龠ー・。、", "hu-HU": "A-Za-zÁÉÍÓÖŐÚÜŰáéíóöőúüű",
+    "pt-PT": "A-Za-zÃÁÀÂÄÇÉÊËÍÏÕÓÔÖÚÜãáàâäçéêëíïõóôöúü", "kk-KZ": "А-ЯЁа-яёӘҰІҢҒҮҚӨҺәұіңғүқөһ", "sk-SK": "A-Za-zÁČĎÉÍŇÓŠŤÚÝŽĹŔĽÄÔáčďéíňóšťúýžĺŕľäô", "sr-RS@latin": "A-Za-zČĆŽŠĐčćžšđ",
+    "sr-RS": "А-Яа-яЂЈЉЊЋЏђјљњћџ", "th-TH": r"ก-๐\s", "tr-TR": "A-Za-zÇĞİıÖŞÜçğöşü", "uk-UA": "А-ЩЬЮЯЄIЇҐіа-щьюяєiїґІ", "ko-KR": "ㄱ-ㅎㅏ-ㅣ가-힣",
+    "vi-VN": "A-Za-zÀÁẠẢÃÂẦẤẬẨẪĂẰẮẶẲẴĐÈÉẸẺẼÊỀẾỆỂỄÌÍỊỈĨÒÓỌỎÕÔỒỐỘỔỖƠỜỚỢỞỠÙÚỤỦŨƯỪỨỰỬỮỲÝỴỶỸàáạảãâầấậẩẫăằắặẳẵđèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹ",
+    "ku-IQ": "ئابپتجچحخدرڕزژسشعغفڤقکگلڵمنوۆھەیێيطؤثآإأكضصةظذ", "ar": "ءآأؤإئابةتثجحخدذرزسشصضطظعغفقكلمنهوىيًٌٍَُِّْٰ", "fa": "'آاءأؤئبپتثجچحخدذرزژسشصضطظعغفقکگلمنوهةی", "eo": "ABCĈD-GĜHĤIJĴK-PRSŜTUŬVZabcĉd-gĝhĥijĵk-prsŝtuŭvz",
+    "si-LK": r"\u0D80-\u0DFF", "ta-IN": r"\u0B80-\u0BFF", "te-IN": r"\u0C00-\u0C7F", "kn-IN": r"\u0C80-\u0CFF", "ml-IN": r"\u0D00-\u0D7F", "gu-IN": r"\u0A80-\u0AFF", "pa-IN": r"\u0A00-\u0A7F", "or-IN": r"\u0B00-\u0B7F",
 }
-DECIMAL_COMMA = frozenset("de-DE fr-FR es-ES it-IT nl-NL da-DK nb-NO nn-NO sv-SE fi-FI pl-PL cs-CZ sl-SI ru-RU bg-BG".split())
+#: Digits and marks that count beside 0-9 and the alphabet in alphanumeric texts, and alphabets of those that differ.
+MORE_DIGITS = {"ku-IQ": "٠١٢٣٤٥٦٧٨٩", "ar": "٠١٢٣٤٥٦٧٨٩", "fa": "۱۲۳۴۵۶۷۸۹۰", "ja-JP": "０-９", "th-TH": "๑-๙"} | dict.fromkeys("ta-IN te-IN kn-IN ml-IN gu-IN pa-IN or-IN".split(), ".")
+NO_ALPHANUMERIC = frozenset(["fa-IR"])
+DECIMAL_COMMA = frozenset("bg-BG cs-CZ da-DK de-DE el-GR en-ZM eo es-ES fr-CA fr-FR gu-IN hi-IN hu-HU id-ID it-IT kk-KZ kn-IN ku-IQ ml-IN nb-NO nl-NL nn-NO or-IN pa-IN pl-PL pl-Pl pt-BR pt-PT ru-RU si-LK sl-SI sr-RS sr-RS@latin sv-SE ta-IN te-IN tr-TR uk-UA vi-VN".split())
+DECIMAL_POINT = frozenset("en-US en-AU en-GB en-HK en-IN en-NZ en-ZA ar-EG ar-LB ar-LY bn-BD bn-IN".split())
+DECIMAL_ARABIC = frozenset("ar ar-AE ar-BH ar-DZ ar-IQ ar-JO ar-KW ar-MA ar-QM ar-QA ar-SA ar-SD ar-SY ar-TN ar-YE fa-IR fa-AF".split())
+#: Regions that take another locale's alphabet.
+ALIASES = dict.fromkeys("en-AU en-GB en-HK en-IN en-NZ en-ZA en-ZM".split(), "en-US") | {f"ar-{r}": "ar" for r in "AE BH DZ EG IQ JO KW LB LY MA QM QA SA SD SY TN YE".split()} | {"fr-CA": "fr-FR", "pt-BR": "pt-PT", "pl-Pl": "pl-PL", "fa-AF": "fa"}
+
+
+def alphabet(locale: str) -> str:
+    """The letters of a locale, as they stand in a character class; hi-IN and the Bengali locales aren't known."""
+    name = ALIASES.get(locale, locale)
+    if name not in ALPHABETS:
+        raise ValueError(f"Invalid locale '{locale}'")
+    return ALPHABETS[name]
+
+
+def decimal_mark(locale: str) -> str:
+    for mark, locales in ((",", DECIMAL_COMMA), (".", DECIMAL_POINT), ("٫", DECIMAL_ARABIC)):
+        if locale in locales:
+            return mark
+    raise ValueError(f"Invalid locale '{locale}'")
+
+
 DIGEST_LENGTHS = {"md5": 32, "md4": 32, "sha1": 40, "sha256": 64, "sha384": 96, "sha512": 128, "ripemd128": 32, "ripemd160": 40, "tiger128": 32, "tiger160": 40, "tiger192": 48, "crc32": 8, "crc32b": 8}
 CARDS = {
     "amex": r"^3[47][0-9]{13}$", "dinersclub": r"^3(?:0[0-5]|[68][0-9])[0-9]{11}$", "discover": r"^6(?:011|5[0-9][0-9])[0-9]{12,15}$", "jcb": r"^(?:2131|1800|35[0-9]{3})[0-9]{11}$",
@@ -113,17 +143,18 @@ def matches(value: Text, pattern: str, modifiers: str = "") -> Column:
 
 
 def is_alpha(value: Text, locale: str = "en-US", ignore: str | None = None) -> Column:
-    if locale not in ALPHABETS:
-        raise ValueError(f"Invalid locale '{locale}'")
+    letters = alphabet(locale)
     v = F.regexp_replace(_c(value), f"[{_quoted(ignore)}]", "") if ignore else _c(value)
-    return v.rlike(f"^[{ALPHABETS[locale]}]+$")
+    return v.rlike(f"^[{letters}]{'*' if locale == 'ko-KR' else '+'}$")
 
 
 def is_alphanumeric(value: Text, locale: str = "en-US", ignore: str | None = None) -> Column:
-    if locale not in ALPHABETS:
-        raise ValueError(f"Invalid locale '{locale}'")
+    if locale in NO_ALPHANUMERIC:
+        locale = "fa"
+    name = ALIASES.get(locale, locale)
+    letters = (alphabet(locale) if name != "el-GR" else "Α-ω") + MORE_DIGITS.get(name, "")
     v = F.regexp_replace(_c(value), f"[{_quoted(ignore)}]", "") if ignore else _c(value)
-    return v.rlike(f"^[0-9{ALPHABETS[locale]}]+$")
+    return v.rlike(f"^[{'' if name == 'th-TH' else '0-9'}{letters}]{'*' if name == 'ko-KR' else '+'}$")
 
 
 def is_ascii(value: Text) -> Column:
@@ -238,7 +269,7 @@ def is_port(value: Text) -> Column:
 
 
 def _float_shape(locale: str | None) -> str:
-    return rf"^[-+]?([0-9]+)?([{',' if locale in DECIMAL_COMMA else '.'}][0-9]*)?([eE][+-]?([0-9]+)?)?$"
+    return rf"^[-+]?([0-9]+)?([{decimal_mark(locale) if locale else '.'}][0-9]*)?([eE][+-]?[0-9]+)?$"
 
 
 def _float_head(value: Column) -> Column:
@@ -257,14 +288,14 @@ def is_float(value: Text, locale: str | None = None, least: float | None = None,
 
 
 def is_decimal(value: Text, locale: str = "en-US", force: bool = False, digits: str = "1,") -> Column:
-    if locale not in ALPHABETS:
-        raise ValueError(f"Invalid locale '{locale}'")
     v = _c(value)
-    point = "," if locale in DECIMAL_COMMA else "."
+    point = decimal_mark(locale)
     return v.rlike(rf"^[-+]?([0-9]+)?([{point}][0-9]{{{digits}}}){'' if force else '?'}$") & ~F.replace(v, F.lit(" "), F.lit("")).isin("", "-", "+")
 
 
-def is_numeric(value: Text, no_symbols: bool = False) -> Column:
+def is_numeric(value: Text, no_symbols: bool = False, locale: str | None = None) -> Column:
+    if locale and not no_symbols:
+        return _c(value).rlike(rf"^[+-]?([0-9]*[{decimal_mark(locale)}])?[0-9]+$")
     return fits(value, "digits" if no_symbols else "numeric")
 
 

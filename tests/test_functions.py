@@ -15,7 +15,7 @@ CASES = [
     ("is_int", {}, ["13", "-0", "+1", "007"], ["", "1.0", "a", " 1"]),
     ("is_int", {"leading_zeroes": False}, ["0", "10"], ["007"]),
     ("is_port", {}, ["0", "65535"], ["65536", "-1", "080"]),
-    ("is_float", {}, ["1.5", "-.5", "1e5", "e5", "1."], ["", ".", "a", "1,5"]),
+    ("is_float", {}, ["1.5", "-.5", "1e5", "e5", "1.", "1E-5"], ["", ".", "a", "1,5", "e", "-e", "1e", "5e+"]),
     ("is_uuid", {}, ["9c858901-8a57-4791-81fe-4c455b099bc9", "00000000-0000-0000-0000-000000000000"], ["", "9c858901-8a57-0791-81fe-4c455b099bc9"]),
     ("is_luhn_number", {}, ["4111 1111-1111 1111", "0"], ["4111111111111112", "", "a"]),
     ("is_credit_card", {}, ["4111111111111111", "375556917985515"], ["5398228707871528"]),
