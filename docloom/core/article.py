@@ -290,12 +290,11 @@ class Reader:
                 scored.append(i)
             if name == "div":
                 own = p.children(i)
-                inside = {p.name[k] for k in p.below(i)}
                 loose = any(p.texts[k] is not None and p.pieces[k].strip() for k in range(p.first[i], p.end[i]) if not own or k < p.first[own[0]] or k >= p.end[own[0]])
                 if len(own) == 1 and p.name[own[0]] == "p" and not loose and p.links(i) < 0.25:
                     p.attrs[own[0]] = {**p.attrs[own[0]], **p.attrs[i]}
                     p.name[i] = ""
-                elif not inside & INSIDE_DIV:
+                elif not any(p.alive[k] and p.name[k] in INSIDE_DIV for k in range(i + 1, p.last[i])):
                     p.name[i] = "p"
                     scored.append(i)
             i += 1
