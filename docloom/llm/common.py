@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -45,10 +46,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are written meanwhile."""
+    _RECORDS.append([])
+    try:
+        yield _RECORDS[-1]
+    finally:
+        _RECORDS.pop()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    for own in _RECORDS:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,11 +72,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes written() tables that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        for path in folders(df):
             if "/docloom/" in path:
-                at = spark._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+                deleted(df.sparkSession, path)
+
+
+def folders(df: DataFrame) -> set[str]:
+    """The folders of the files that df reads."""
+    return {x.rsplit("/", 1)[0] for x in df.inputFiles()}
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def rests_on_files(df: DataFrame) -> bool:
+    """Does df read files and nothing else, no cached table and no rows in memory?"""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    names = [leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())]
+    cached = df.sparkSession._jsparkSession.sharedState().cacheManager()
+    return all(n == "LogicalRelation" for n in names) and cached.isEmpty()
 
 
 def released(spark: SparkSession) -> None:

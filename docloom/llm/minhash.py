@@ -272,4 +272,6 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
     classes = reps.select("h1", "h2", "n", "rep").join(labels, "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp"))
     own = base.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
     out = own.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = written(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "groups")
+    dropped(base, reps, labels)
+    return out
