@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import minhash, mixing, pieces, quality, suffixes
-from docloom.llm.common import written
+from docloom.llm.common import deleted, folders, recorded, rests_on_files, written
+
+_LEFT: list[str] = []  # scratch tables of stages that have run
+
+
+def _stage(f):
+    """f, which first deletes the scratch tables of stages before it, once nothing reads them any more.
+
+    That is when docs rests on files alone, as when the stage before was written and read again; the files it reads stay.
+    """
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if rests_on_files(docs):
+            own = folders(docs)
+            for path in [x for x in _LEFT if not any(o.endswith(x.split("/docloom/")[-1]) for o in own)]:
+                deleted(spark, path)
+                _LEFT.remove(path)
+        with recorded() as made:
+            out = f(spark, docs, sf_dir)
+        _LEFT.extend(made)
+        return out
+
+    return run
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the line field accept.
 
@@ -19,6 +45,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, field)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest id, null ids last; rows that share an id are documents of their own.
 
@@ -36,6 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(gone, "number", "left_anti").select(*[F.col(f"row.{c}") for c in columns])
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings of 200 or more that occur twice; documents of which nothing is left go.
 
@@ -46,6 +74,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it.
 
@@ -55,6 +84,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document of the mix.
 
@@ -73,5 +103,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with recorded() as made:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        _LEFT.append(made[-1])
     return STAGES[-1][1](spark, docs, sf_dir)
