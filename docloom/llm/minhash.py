@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import U, dropped, mixed, pieces, shingles, tidy, written
+from docloom.llm.common import U, dropped, mixed, pieces, released, shingles, tidy, written
 
 #: 32 bands of 5 rows: a pair of similarity 0.8 shares no band with probability 0.000003.
 BANDS, ROWS = 32, 5
@@ -233,6 +233,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
     keys = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     hubs = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min("rep").alias("hub")).filter("m > 1"), "hubs")
     members = written(keys.drop("n").join(hubs, "key"), "buckets")
+    released(documents.sparkSession)
     some = members.select("rep").distinct()
     small = written(reps.join(some, "rep", "left_semi").select("rep", "sig", "bands"), "sigs")
     texts = docs.join(some.withColumnRenamed("rep", "id"), "id", "left_semi")
@@ -256,6 +257,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
 
     links = confirmed(likely(members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()), "links")
     labels = components(links)
+    released(documents.sparkSession)
     now = members.join(labels, "rep", "left").select("key", "band", "rep", "m", "total", F.coalesce("comp", "rep").alias("comp"))
     split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     chunked = now.join(split, "key").withColumn("c", F.ceil(F.greatest(F.col("m") / CHUNK, 8 * F.col("total") / CHUNK_BYTES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("c")).cast("int"))
@@ -274,4 +276,5 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
     out = own.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
     out = written(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "groups")
     dropped(base, reps, labels)
+    released(documents.sparkSession)
     return out
