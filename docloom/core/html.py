@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html import escape, unescape
 
 # Fixed values, by the public HTML standard.
@@ -178,27 +179,152 @@ SAFE_TAGS = frozenset(
 )
 SAFE_ATTRIBUTES = frozenset("abbr align alt border cellpadding cellspacing cite class colspan color datetime dir headers height href id lang name open rel reversed role rowspan scope span src start summary tabindex title type valign value width".split())
 GONE_WITH_CONTENT = RAW | frozenset("audio embed frameset head math noscript object plaintext select svg template title textarea video".split())
-SAFE_ADDRESS = re.compile(r"(?:(?:https?|mailto|ftp|tel|sms):|[^a-z]|[a-z+.\-]+(?:[^a-z+.\-:]|$))", re.I)
-_BLANKS = re.compile(r"[\x00-\x20\xa0 ᠎ -  　]")
+SAFE_ADDRESS = re.compile(r"(?:(?:(?:f|ht)tps?|mailto|tel|callto|sms|cid|xmpp|matrix):|[^a-z]|[a-z+.\-]+(?:[^a-z+.\-:]|$))", re.I)
+DATA_ADDRESS_TAGS = frozenset("audio image img source track video".split())
+#: Attributes that never hold an address.
+PLAIN_ATTRIBUTES = frozenset("alt class for id label name pattern placeholder role style summary title value xmlns".split())
+#: Names by which an element would stand in for a property of its document or form.
+CLOBBERING = frozenset(
+    "attributes body childNodes children className cookie constructor createElement createTextNode currentScript defaultView document documentElement domain elements firstChild forms getElementById getElementsByTagName head hasAttributes hasChildNodes id images implementation innerHTML insertBefore lastChild length links location method nextSibling nodeName nodeType nodeValue parentNode previousSibling querySelector querySelectorAll remove removeAttribute removeChild scripts setAttribute shadowRoot submit textContent title write".split()
+)
+_BLANKS = re.compile(r"[\x00-\x20\xa0\u1680\u180e\u2000-\u2029\u205f\u3000]")
+_SCRIPT = re.compile(r"(?:\w+script|data):", re.I)
+_MARKUP = re.compile(r"--!?>|\]>|</(?:style|script|title|xmp|textarea|noscript|iframe|noembed|noframes)", re.I)
+_CUSTOM = re.compile(r"[a-z][.\w]*(?:-[.\w]+)+", re.I)
+_TEMPLATES = [re.compile(x, re.S) for x in (r"\{\{.*|^.*\}\}", r"<%.*|^.*%>", r"\$\{.*")]
+_CANDIDATE = re.compile(r"\s*([^\s,]\S*[^\s,]|[^\s,])([^,]*)(?:,|$)")
+
+
+def without_templates(text: str) -> str:
+    """Template expressions ({{ }}, <% %>, ${ }) become a space, with all that follows an open one or precedes a closed one."""
+    for pattern in _TEMPLATES:
+        text = pattern.sub(" ", text)
+    return text
+
+
+def _allows(rule: str | re.Pattern | Callable | None, *what: str) -> bool:
+    """Whether a rule, a pattern over the first word or a function of all, allows it."""
+    return rule is not None and bool(rule(*what) if callable(rule) else re.search(rule, what[0]))
+
+
+@dataclass(frozen=True)
+class Policy:
+    """What sanitising leaves. Names are in lower case.
+
+    tags, attributes: what is allowed; add_* widens that (a set, or a function of the name, for attributes of name and
+    element), forbid_* overrules both. Attributes named on... and srcdoc never stay. gone_with_content: forbidden elements whose content goes
+    too. plain_attributes hold no address; others' values must match `address`, or be data: of elements in
+    data_tags, or have any other scheme than scripts' with unknown_schemes. custom_tags, custom_attributes: a
+    pattern or function for elements with a hyphen. clobbering: ids and names of document properties stay;
+    prefix: ids and names get one. templates: template expressions go. markup_in_values: values that close a
+    raw element or a comment stay. self_closing_values: values with /> stay. on_element(name, attributes) and
+    on_attribute(element, name, value) are asked last: False drops, a string replaces a value.
+    """
+
+    tags: frozenset[str] = SAFE_TAGS
+    attributes: frozenset[str] = SAFE_ATTRIBUTES
+    add_tags: frozenset[str] | tuple | Callable[[str], bool] = frozenset()
+    add_attributes: frozenset[str] | tuple | Callable[[str, str], bool] = frozenset()
+    forbid_tags: frozenset[str] | tuple = frozenset()
+    forbid_attributes: frozenset[str] | tuple = frozenset()
+    keep_content: bool = True
+    gone_with_content: frozenset[str] | tuple = GONE_WITH_CONTENT
+    add_gone_with_content: frozenset[str] | tuple = frozenset()
+    data_attributes: bool = True
+    aria_attributes: bool = True
+    plain_attributes: frozenset[str] | tuple = PLAIN_ATTRIBUTES
+    address: str | re.Pattern = SAFE_ADDRESS
+    data_tags: frozenset[str] | tuple = DATA_ADDRESS_TAGS
+    unknown_schemes: bool = False
+    custom_tags: str | re.Pattern | Callable[[str], bool] | None = None
+    custom_attributes: str | re.Pattern | Callable[[str, str], bool] | None = None
+    clobbering: bool = False
+    prefix: str = ""
+    templates: bool = False
+    markup_in_values: bool = False
+    self_closing_values: bool = True
+    on_element: Callable[[str, dict[str, str]], bool | None] | None = None
+    on_attribute: Callable[[str, str, str], str | bool | None] | None = None
 
+    def allows_tag(self, name: str) -> bool:
+        if name in self.forbid_tags or name in ("script", "noscript", "plaintext"):
+            return False
+        if name in self.tags or (self.add_tags(name) if callable(self.add_tags) else name in self.add_tags):
+            return True
+        return _CUSTOM.fullmatch(name) is not None and _allows(self.custom_tags, name)
 
-def sanitize(html: str, tags: frozenset[str] = SAFE_TAGS, attributes: frozenset[str] = SAFE_ATTRIBUTES, keep_content: bool = True) -> str:
-    """Markup with allowed elements, attributes and addresses alone. A forbidden element's content stays unless it can hold code or keep_content is off."""
+    def _named(self, tag: str, name: str) -> bool:
+        if name.startswith("data-"):
+            return self.data_attributes and not self.templates and re.fullmatch(r"data-[\w.\u00b7-\uffff-]+", name) is not None
+        if name.startswith("aria-"):
+            return self.aria_attributes and re.fullmatch(r"aria-[\w-]+", name) is not None
+        if name in self.attributes or (self.add_attributes(name, tag) if callable(self.add_attributes) else name in self.add_attributes):
+            return True
+        return _CUSTOM.fullmatch(tag) is not None and _allows(self.custom_attributes, name, tag)
+
+    def allows_attribute(self, tag: str, name: str, value: str) -> bool:
+        """Whether an attribute of that element may have that value."""
+        if name in self.forbid_attributes or name.startswith("on") or name in ("srcdoc", "patchsrc") or (name == "for" and tag not in ("label", "output")):
+            return False
+        if not self._named(tag, name) or (name == "attributename" and value.strip().lower() == "href"):
+            return False
+        if not self.clobbering and not self.prefix and name in ("id", "name") and value in CLOBBERING:
+            return False
+        if (not self.markup_in_values and _MARKUP.search(value)) or (not self.self_closing_values and re.search(r"/\s*>", value)):
+            return False
+        if name == "srcset":
+            return bool(self.srcset(value))
+        return name in self.plain_attributes or not value or self.allows_address(tag, name, value)
+
+    def allows_address(self, tag: str, name: str, value: str) -> bool:
+        bare = _BLANKS.sub("", value)
+        if re.match(self.address, bare):
+            return True
+        if name in ("src", "href", "xlink:href", "srcset") and bare.lower().startswith("data:") and tag in self.data_tags:
+            return True
+        return self.unknown_schemes and not _SCRIPT.match(bare)
+
+    def srcset(self, value: str) -> str:
+        """The candidates whose addresses are allowed."""
+        return ", ".join((m[1] + m[2]).strip() for m in _CANDIDATE.finditer(value) if self.allows_address("img", "srcset", m[1]))
+
+    def value(self, name: str, value: str) -> str:
+        """What an allowed value becomes."""
+        value = without_templates(value) if self.templates else value
+        if self.prefix and name in ("id", "name") and not value.startswith(self.prefix):
+            value = self.prefix + value
+        return self.srcset(value) if name == "srcset" else value
+
+    def kept(self, tag: str, attrs: dict[str, str], removed: list[tuple[str, str]] | None = None) -> dict[str, str]:
+        out = {}
+        for name, value in attrs.items():
+            said = self.on_attribute(tag, name, value) if self.on_attribute is not None else None
+            value = said if isinstance(said, str) else value
+            if said is not False and self.allows_attribute(tag, name, value):
+                out[name] = self.value(name, value)
+            elif removed is not None:
+                removed.append((tag, name))
+        return out
+
+
+def sanitize(html: str, *arguments, policy: Policy | None = None, removed: list[tuple[str, str]] | None = None, **options) -> str:
+    """Markup with allowed elements, attributes and addresses alone; options are those of Policy. A forbidden element's content stays unless it can hold code or keep_content is off. removed takes what went: (element, attribute or nothing)."""
+    policy = policy or Policy(*arguments, **options)
+    gone = {*policy.gone_with_content, *policy.add_gone_with_content}
     root, clean = parse(html), Node("root")
     wait = [(child, clean) for child in reversed(root.children)]
     while wait:
         node, into = wait.pop()
         if node.kind == "text":
-            Node("text", data=node.data, parent=into)
+            Node("text", data=without_templates(node.data) if policy.templates else node.data, parent=into)
         elif node.kind == "tag":
-            if node.name in tags:
-                kept = {}
-                for k, v in node.attrs.items():
-                    named = k in attributes or re.fullmatch(r"(?:data|aria)-[\w.\-]+", k)
-                    if named and (k not in ("href", "src", "cite") or SAFE_ADDRESS.match(_BLANKS.sub("", v)) or not v):
-                        kept[k] = v
-                into = Node("tag", node.name, kept, parent=into)
-            elif node.name in GONE_WITH_CONTENT or not keep_content:
-                continue
+            code = node.name in RAW and any("<" in child.data for child in node.children)  # a raw element could hide markup
+            if policy.allows_tag(node.name) and not code and (policy.on_element is None or policy.on_element(node.name, dict(node.attrs)) is not False):
+                into = Node("tag", node.name, policy.kept(node.name, node.attrs, removed), parent=into)
+            else:
+                if removed is not None:
+                    removed.append((node.name, ""))
+                if code or node.name in gone or not policy.keep_content:
+                    continue
             wait.extend((child, into) for child in reversed(node.children))
     return serialize(clean)

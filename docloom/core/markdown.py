@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 
-from docloom.core.html import BLOCKS, VOID, Node, parse, walk
+from collections.abc import Callable, Mapping
+
+from docloom.core.html import BLOCKS, VOID, Node, parse, serialize, walk
 
 # What is escaped in running text, in this order; ^ is the start of a text node.
 ESCAPES = [
     (r"\\", r"\\\\"), (r"\*", r"\\*"), (r"^-", r"\\-"), (r"^\+ ", r"\\+ "), (r"^(=+)", r"\\\1"), (r"^(#{1,6}) ", r"\\\1 "), (r"`", r"\\`"), (r"^~~~", r"\\~~~"),
     (r"\[", r"\\["), (r"\]", r"\\]"), (r"^>", r"\\>"), (r"_", r"\\_"), (r"^(\d+)\. ", r"\1\\. "),
 ]
-DEFAULTS = {"heading_style": "setext", "hr": "* * *", "bullet": "*", "code_block_style": "indented", "fence": "```", "em": "_", "strong": "**", "strike": "~"}
+DEFAULTS = {"heading_style": "setext", "hr": "* * *", "bullet": "*", "code_block_style": "indented", "fence": "```", "em": "_", "strong": "**", "strike": "~", "link_style": "inlined", "link_reference_style": "full"}
 #: Blank elements that say something nevertheless.
 SPEAKING = frozenset("a table thead tbody tfoot th td iframe script audio video".split())
 
@@ -110,11 +112,28 @@ def _table(node: Node, done: dict[int, str]) -> str | None:
     return "\n".join(lines)
 
 
-def to_markdown(html: str, remove: tuple[str, ...] = (), gfm: bool = False, **options: str) -> str:
-    """Markdown of the markup; elements named in remove go with their content. gfm: struck text, check boxes and tables too."""
+def _outer(node: Node) -> str:
+    """Markup of the node itself."""
+    top = Node("root")
+    top.children = [node]
+    return serialize(top)
+
+
+def to_markdown(html: str, remove: tuple[str, ...] = (), gfm: bool = False, keep: tuple[str, ...] = (), rules: Mapping[str, Callable[[str, dict[str, str]], str]] | None = None, **options: str) -> str:
+    """Markdown of the markup; elements named in remove go with their content, those named in keep that have no Markdown stay as markup.
+
+    gfm: struck text, check boxes, highlighted code and tables too. rules: for an element's name, what its content
+    and attributes become, before all other rules. link_style: inlined, or referenced, with the addresses at the
+    end under numbers (link_reference_style full) or the links' texts (collapsed, shortcut).
+    """
     o = DEFAULTS | options
+    rules = rules or {}
     root = parse(html)
     order = list(walk(root))
+    links = [n for n in order if n.name == "a" and n.attrs.get("href")] if o["link_style"] == "referenced" and "a" not in rules else []
+    number = {id(n): i for i, n in enumerate(links, 1)}
+    references: dict[int, str] = {}
+    outer = {id(n): _outer(n) for n in order if n.name in keep}
     inside: set[int] = set()
     for node in order:
         if node.name == "pre" or id(node.parent) in inside:
@@ -145,11 +164,31 @@ def to_markdown(html: str, remove: tuple[str, ...] = (), gfm: bool = False, **op
         if not content.strip() and name not in VOID and name not in SPEAKING and not pre and not any(c.name in VOID or c.name in SPEAKING for c in walk(node)):
             done[id(node)] = "\n\n" if block else before + after
             continue
-        done[id(node)] = before + _rule(node, content, o, gfm, done, pre, block) + after
-    return _joined([done[id(c)] for c in root.children]).lstrip("\t\r\n").rstrip()
+        if name in rules:
+            own = rules[name](content, dict(node.attrs))
+        elif id(node) in number:
+            own, references[id(node)] = _reference(node, content, number[id(node)], o["link_reference_style"])
+        else:
+            own = _rule(node, content, o, gfm, done, pre, block, outer.get(id(node)))
+        done[id(node)] = before + own + after
+    parts = [done[id(c)] for c in root.children]
+    if references:
+        parts.append("\n\n" + "\n".join(references[id(n)] for n in links if id(n) in references) + "\n\n")
+    return _joined(parts).lstrip("\t\r\n").rstrip()
+
+
+def _link(node: Node) -> str:
+    address = node.attrs["href"].replace("(", "\\(").replace(")", "\\)")
+    return _titled(address, node.attrs.get("title", "").replace('"', '\\"'))
+
+
+def _reference(node: Node, content: str, number: int, style: str) -> tuple[str, str]:
+    """A link by reference, and the line that says where it leads."""
+    name = str(number) if style == "full" else content
+    return {"full": f"[{content}][{name}]", "collapsed": f"[{content}][]", "shortcut": f"[{content}]"}[style], f"[{name}]: {_link(node)}"
 
 
-def _rule(node: Node, content: str, o: dict[str, str], gfm: bool, done: dict[int, str], pre: bool, block: bool) -> str:
+def _rule(node: Node, content: str, o: dict[str, str], gfm: bool, done: dict[int, str], pre: bool, block: bool, outer: str | None = None) -> str:
     name = node.name
     if re.fullmatch("h[1-6]", name):
         level = int(name[1])
@@ -186,7 +225,7 @@ def _rule(node: Node, content: str, o: dict[str, str], gfm: bool, done: dict[int
         body = text[:-1] if text.endswith("\n") else text
         return f"\n\n{fence}{language[1] if language else ''}\n{body}\n{fence}\n\n"
     if name == "a" and node.attrs.get("href"):
-        return f"[{content}]({_titled(node.attrs['href'].replace('(', chr(92) + '(').replace(')', chr(92) + ')'), node.attrs.get('title', '').replace(chr(34), chr(92) + chr(34)))})"
+        return f"[{content}]({_link(node)})"
     if name in ("em", "i"):
         return o["em"] + content + o["em"] if content.strip() else ""
     if name in ("strong", "b"):
@@ -201,4 +240,8 @@ def _rule(node: Node, content: str, o: dict[str, str], gfm: bool, done: dict[int
         return "[x] " if "checked" in node.attrs else "[ ] "
     if gfm and name == "table" and (table := _table(node, done)) is not None:
         return f"\n\n{table}\n\n"
+    if gfm and name == "div" and node.children and node.children[0].name == "pre" and (language := re.search("highlight-(?:text|source)-([a-z0-9]+)", node.attrs.get("class", ""))):
+        return f"\n\n{o['fence']}{language[1]}\n{_raw(node.children[0])}\n{o['fence']}\n\n"
+    if outer is not None and name != "p":
+        return f"\n\n{outer}\n\n" if block else outer
     return f"\n\n{content}\n\n" if block else content

@@ -151,7 +151,36 @@ def normalized(html: Column | str) -> Column:
 
 
 def sanitized(html: Column | str, **options) -> Column:
-    return _mapped(lambda x: H.sanitize(x, **options), html)
+    """The markup with allowed elements, attributes and addresses alone; options are those of docloom.core.html.Policy."""
+    policy = H.Policy(**options)
+    return _mapped(lambda x: H.sanitize(x, policy=policy), html)
+
+
+SANITIZED = "struct<html:string,removed:array<struct<element:string,attribute:string>>>"
+_SANITIZED = pa.struct([("html", pa.string()), ("removed", pa.list_(pa.struct([("element", pa.string()), ("attribute", pa.string())])))])
+
+
+def sanitized_with_removed(html: Column | str, **options) -> Column:
+    """The sanitised markup and what went, in document order; a removed element has no attribute."""
+    policy = H.Policy(**options)
+
+    def one(x: str) -> dict:
+        removed: list[tuple[str, str]] = []
+        return {"html": H.sanitize(x, policy=policy, removed=removed), "removed": [{"element": e, "attribute": a or None} for e, a in removed]}
+
+    return _mapped(one, html, SANITIZED, _SANITIZED)
+
+
+def attribute_allowed(element: Column | str, attribute: Column | str, value: Column | str, **options) -> Column:
+    """Whether sanitising leaves an attribute with that value; null if one of the three is null."""
+    policy = H.Policy(**options)
+
+    @F.arrow_udf("boolean")
+    def run(elements: pa.Array, attributes: pa.Array, values: pa.Array) -> pa.Array:
+        rows = zip(elements.to_pylist(), attributes.to_pylist(), values.to_pylist(), strict=True)
+        return pa.array((None if None in row else policy.allows_attribute(row[0].lower(), row[1].lower(), row[2]) for row in rows), pa.bool_())
+
+    return run(*(F.col(x) if isinstance(x, str) else x for x in (element, attribute, value)))
 
 
 def markdown(html: Column | str, **options) -> Column:
