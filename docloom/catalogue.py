@@ -514,7 +514,7 @@ def _checkpoints(spark: SparkSession) -> None:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from docloom import more_queries  # noqa: F401  (registers its queries here)
+    from docloom import diagram_queries, more_queries  # noqa: F401  (register their queries here)
 
     return dict(_QUERIES)
 
