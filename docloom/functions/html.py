@@ -188,18 +188,25 @@ def markdown(html: Column | str, **options) -> Column:
 
 
 def query_json(query: Column | str, **options) -> Column:
-    """The nested value of a query string, as JSON."""
-    return _mapped(lambda x: N.parse_json(x, **options), query)
+    """The nested value of a query string, as JSON; null beyond a strict limit or depth."""
+
+    def one(x: str) -> str | None:
+        try:
+            return N.parse_json(x, **options)
+        except ValueError:
+            return None
+
+    return _mapped(one, query)
 
 
 def query_of_json(value: Column | str, **options) -> Column:
-    """The query string of a JSON object or array; null if the JSON is something else or malformed."""
+    """The query string of a JSON object or array; null if the JSON is something else, malformed or too deep."""
 
     def one(x: str) -> str | None:
         try:
             held = json.loads(x)
+            return N.stringify(held, **options) if isinstance(held, (dict, list)) else None
         except ValueError:
             return None
-        return N.stringify(held, **options) if isinstance(held, (dict, list)) else None
 
     return _mapped(one, value)
