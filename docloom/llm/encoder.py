@@ -9,8 +9,8 @@ import numpy as np
 
 from docloom.llm.common import Cache, Spans, ragged
 
-#: Pre-tokens that a worker remembers; beyond them it forgets all and starts again.
-REMEMBERED = 3_000_000
+#: Pre-tokens that a worker remembers, in some 350 MB; beyond them it forgets all and starts again.
+REMEMBERED = 700_000
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
 
