@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+from collections import Counter
 import re
 import zlib
 
@@ -608,7 +609,10 @@ def test_repeats_longer_than_eight_bits_of_windows(spark):
     rows = [(i, "".join(rnd.choice("ijklm") for _ in range(50)) + passage + "".join(rnd.choice("nopq") for _ in range(50))) for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for length in (200, 400, 800):
-        assert {r.n_removed for r in suffixes.deduplicate(df, length=length).collect()} == {900}
+        windows = Counter(t[k : k + length] for _, t in rows for k in range(len(t) - length + 1))
+        want = {i: len({x for k in range(len(t) - length + 1) if windows[t[k : k + length]] > 1 for x in range(k, k + length)}) for i, t in rows}
+        assert min(want.values()) >= 900  # letters beside the passage may agree too
+        assert {r.doc_id: r.n_removed for r in suffixes.deduplicate(df, length=length).collect()} == want
 
 
 def test_long_words_are_cut_where_no_piece_spans():
