@@ -75,9 +75,9 @@ def _rows(table: DataFrame, value: str, keep: tuple[str, ...], f: Callable, kind
     return rows.mapInArrow(run, schema)
 
 
-def node_table(pages: DataFrame, html: str, *keep: str) -> DataFrame:
-    """One row for each node of each page, beside the columns to keep. Pages without nodes have no rows; no shuffle."""
-    return _rows(pages, html, keep, H.node_rows, NODE, _NODE)
+def node_table(pages: DataFrame, html: str, *keep: str, ended: bool = False) -> DataFrame:
+    """One row for each node of each page, beside the columns to keep. Pages without nodes have no rows; no shuffle. ended: references without a semicolon stay."""
+    return _rows(pages, html, keep, lambda x: H.node_rows(x, ended), NODE, _NODE)
 
 
 TOKEN = "struct<token_id:int,parent_id:int,kind:string,depth:int,text:string>"

@@ -153,3 +153,21 @@ def test_large_strings_are_sliced(spark, monkeypatch):
     df = spark.createDataFrame([(i, None if i % 3 == 0 else "<p>" + "x" * i + "</p>") for i in range(40)], "i int, html string").repartition(1)
     assert {r.i: r.t for r in df.select("i", H.text("html").alias("t")).collect()} == {i: None if i % 3 == 0 else "x" * i for i in range(40)}
     assert df.filter(F.col("i") < 0).select(H.text("html").alias("t")).count() == 0
+
+
+CUT = "<html><head><title>A &amp;&amp</title></head><body><article><h1>A &amp;&amp</h1><p>B&copy; &am &#38;</p></article></body></html>"
+
+
+def test_article_text_decodes_ended_references_alone(spark, tmp_path):
+    """As the query's SQL does; nodes of other callers follow the HTML standard."""
+    import duckdb
+
+    from docloom import catalogue
+
+    spark.createDataFrame([(1, "u", CUT.replace(" &#38;", ""))], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = catalogue.queries()["html_article_text"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == con.execute(catalogue.oracle_sql()["html_article_text"]).fetchall() == [(1, "A &&ampB© &am")]
+    other = H.node_table(spark.createDataFrame([(1, CUT)], "page int, html string"), "html", "page")
+    assert texts(T.text_content(other, T.by_tag_name(other, "article", "page"), "page")) == [(1, "A &&B© &am &")]
