@@ -171,3 +171,16 @@ def test_article_text_decodes_ended_references_alone(spark, tmp_path):
     assert [tuple(r) for r in got] == con.execute(catalogue.oracle_sql()["html_article_text"]).fetchall() == [(1, "A &&ampB© &am")]
     other = H.node_table(spark.createDataFrame([(1, CUT)], "page int, html string"), "html", "page")
     assert texts(T.text_content(other, T.by_tag_name(other, "article", "page"), "page")) == [(1, "A &&B© &am &")]
+
+
+def test_counts_decode_ended_references_alone(spark, tmp_path):
+    import duckdb
+
+    from docloom import catalogue
+
+    spark.createDataFrame([(1, "u", CUT), (2, "u", "<p>&amp</p>")], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted((r.page_id, r.title) for r in catalogue.queries()["html_counts"](spark, str(tmp_path)).collect())
+    want = con.execute(f"SELECT page_id, title FROM ({catalogue.oracle_sql()['html_counts']}) ORDER BY 1").fetchall()
+    assert got == want == [(1, "A &&amp"), (2, "")]
