@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -111,10 +112,19 @@ def give_back() -> None:
         pass
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, whose worker gives freed memory back when a task begins and ends: workers of earlier stages stay alive beside the JVM."""
+_CACHES: weakref.WeakSet[Cache] = weakref.WeakSet()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], caches: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose worker gives freed memory back when a task begins and ends: workers of earlier stages stay alive beside the JVM.
+
+    caches: run looks strings up in a Cache; a task that doesn't empties those that other tasks have filled.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not caches:
+            for x in list(_CACHES):
+                x.forget()
         give_back()
         try:
             yield from run(batches)
@@ -326,6 +336,7 @@ class Cache:
     def __init__(self, most: int = 3_000_000):
         self.most = most
         self.forget()
+        _CACHES.add(self)
 
     def forget(self) -> None:
         self.tables: list[tuple[np.ndarray, ...]] = []  # sorted keys; place and count of numbers; first eight bytes, size, place of all bytes if longer

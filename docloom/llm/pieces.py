@@ -19,6 +19,8 @@ _LITERAL = 0x110000
 UNCUT = 64
 #: Scores that a search holds at once, about: words of one length advance through them a stretch of ends at a time.
 STRETCH = 1 << 20
+#: Words that a worker remembers, in some 100 MB; beyond them it forgets all and starts again. Bytes of text that it encodes at once.
+REMEMBERED, BLOCK = 300_000, 1 << 19
 
 
 def default_model() -> str:
@@ -37,7 +39,7 @@ class Model:
     a word's begin, so words are searched by themselves, each distinct one once.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = REMEMBERED):
         import sentencepiece
 
         held = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -220,7 +222,7 @@ def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         held = model(path)
         kind = "<u2" if len(held.spelled_size) <= 1 << 16 else "<u4"
         for batch in batches:
-            for part, data, at in pieces(batch, "text"):
+            for part, data, at in pieces(batch, "text", BLOCK):
                 ids, of = held.encode(data, at)
                 back, ends = held.decode(ids, of)
                 raw, again = data.tobytes(), back.tobytes()
@@ -232,7 +234,7 @@ def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                     ["doc_id", "n_ids", "ids", "ids_crc32", "round_trip"],
                 )
 
-    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_ids long, ids binary, ids_crc32 long, round_trip boolean")
+    return docs.mapInArrow(tidy(run, caches=True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_ids long, ids binary, ids_crc32 long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
@@ -250,4 +252,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", id_col: str = "d
             texts = [None if x is None else raw[a:b].decode() for x, a, b in zip(own, at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(tidy(run, caches=True), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")

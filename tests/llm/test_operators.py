@@ -626,3 +626,15 @@ def test_long_words_are_cut_where_no_piece_spans():
         finally:
             pieces.UNCUT = uncut
         assert ids.tolist() == want.tolist()
+
+
+def test_words_remembered_are_few_and_forgotten_by_other_tasks():
+    from docloom.llm import common
+
+    held = pieces.Model(pieces.default_model())
+    assert held.cache.most <= 300_000 and pieces.BLOCK <= 1 << 19
+    want = held.encode(*_batch(["some words to keep"]))[0].tolist()
+    known = held.cache.known
+    assert known and list(common.tidy(iter, caches=True)([])) == [] and held.cache.known == known
+    assert list(common.tidy(iter)([])) == [] and held.cache.known == 0 and len(held.cache.flat) == 0
+    assert held.encode(*_batch(["some words to keep"]))[0].tolist() == want
