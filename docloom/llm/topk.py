@@ -14,12 +14,16 @@ from docloom.llm.common import written
 
 #: Components of the candidates of one cell, the unit of work, whose lists are sorted once for all its queries; and those queries.
 CELL, QUERIES = 1 << 22, 1 << 13
-#: A list is read in so many batches at most; so many lists are read between two looks at the cursors.
-BATCHES, LISTS = 16, 16
+#: A list is cut in so many batches at most; so many queries read the lists together, fewer at first.
+BATCHES, TOGETHER, FIRST = 4, 256, 16
 #: Bounds are compared whenever what the unread parts of the lists can add has fallen to this part.
 FALL = 0.85
-#: Whole numbers below this are exact doubles.
-_EXACT = float(1 << 53)
+#: Numbers of a block of candidates whose read entries are summed up in one product.
+BLOCK = 1 << 20
+#: So many sums, or cursors' steps, of queries that read together at most.
+ROOM = 1 << 24
+#: Whole numbers below these are exact doubles, and exact floats.
+_EXACT, _NARROW = float(1 << 53), float(1 << 24)
 
 
 class Lists:
@@ -31,86 +35,113 @@ class Lists:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors, (n, d) = vectors, vectors.shape
-        self.batch = max(1, -(-n // BATCHES))
-        self.batches = -(-n // self.batch)
+        batch = max(1, -(-n // BATCHES))
+        self.batches = -(-n // batch)
         order = np.argsort(-vectors.T, 1, kind="stable")
         values = np.take_along_axis(vectors.T, order, 1)
         place = np.empty((d, n), np.int64)
         np.put_along_axis(place, order, np.arange(n)[None, :], 1)
-        fill = self.batches * self.batch - n
-        both = [(np.pad(order, ((0, 0), (0, fill)), constant_values=n), np.pad(values, ((0, 0), (0, fill)), mode="edge"))]
-        both.append((np.pad(order[:, ::-1], ((0, 0), (0, fill)), constant_values=n), np.pad(values[:, ::-1], ((0, 0), (0, fill)), mode="edge")))
-        shape = (2, d, self.batches, self.batch)
-        self.who = np.stack([x[0] for x in both]).reshape(shape)  # n stands for nobody
-        value = np.stack([x[1] for x in both]).reshape(shape)
-        self.head = np.concatenate([value[:, :, :, 0], value[:, :, -1:, -1]], 2)  # the first value of each batch, and the last of all
-        self.rise = np.abs(value - self.head[:, :, -1, None, None])  # above the list's last value
-        self.step = np.ascontiguousarray(np.concatenate([place // self.batch, (n - 1 - place) // self.batch]).astype(np.uint8).T)  # in which batch a candidate stands
+        self.head = np.stack([np.concatenate([x[:, ::batch], x[:, -1:]], 1) for x in (values, values[:, ::-1])])  # the first value of each batch, and the last of all
+        self.step = np.stack([place // batch, (n - 1 - place) // batch]).astype(np.uint8)  # in which batch a candidate stands
+        self.sizes = np.diff(np.minimum(np.arange(self.batches + 1) * batch, n))
+        self.left = np.abs(self.head - self.head[:, :, -1:])  # above the list's last value
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        steep = lambda i, b: np.max([(self.left[:, :, i] - self.left[:, :, j]) / (ends[j] - ends[i]) for j in range(b + 1, len(ends))], 0)
+        self.slope = np.stack([np.min([steep(i, b) for i in range(b + 1)], 0) for b in range(self.batches)], 2)  # fall an entry, where a steep batch shares its fall with those before it: never rises along a list
         self.entries_read = 0
 
-    def finalists(self, weights: np.ndarray, k: int, floor: float, own: int | None, slack: float = 0.0) -> np.ndarray:
-        """The candidates that can be among the query's k best (and score `floor` or more), by sequential reads alone.
+    def read(self, weights: np.ndarray, seen: np.ndarray) -> None:
+        """Adds to seen (queries, candidates) what the entries of the batches count that have a weight: (queries, sides, dimensions, batches)."""
+        n, d = self.vectors.shape
+        wide = weights.reshape(len(weights), -1).astype(seen.dtype)
+        asked = np.flatnonzero(wide.any(0))
+        wide = np.ascontiguousarray(wide[:, asked])
+        side, each, batch = np.unravel_index(asked, weights.shape[1:])
+        each, lowest, size = side * d + each, self.head[:, :, -1], max(64, BLOCK // max(2 * d, len(asked)))
+        for at in range(0, n, size):
+            step = self.step[:, :, at : at + size].reshape(2 * d, -1)
+            rise = np.abs(self.vectors[at : at + size].T - lowest[:, :, None]).astype(seen.dtype).reshape(2 * d, -1)
+            seen[:, at : at + size] += wide @ (rise[each] * (step[each] == batch[:, None].astype(np.uint8)))
+
+    def finalists(self, queries: np.ndarray, k: int, own: list[int | None], slack: float = 0.0, kind: type = np.float64) -> Iterator[tuple[int, np.ndarray]]:
+        """For each query (its index) the candidates that can be among its k best, by sequential reads alone.
 
         A candidate's score lies between what has been seen of it and that plus, for each list in which it hasn't been
-        seen, what the next unread entry counts there. Lists are read where weight times drop over the next batch is
-        largest. A query stops once no more than a few candidates (4 k, or a sixteenth) have an upper bound that
-        reaches the k-th best lower bound: nobody else, seen or not, can qualify. slack: how far sums may be off.
+        seen, what the next unread entry counts there. Lists are read where weight times fall is largest; queries that
+        read together have cursors of their own, and the entries that they read between two looks at the bounds are
+        summed up together. A query stops once no more than a few candidates (4 k, or a sixteenth) have an upper bound
+        that reaches the k-th best lower bound: nobody else, seen or not, can qualify. The first look of later queries
+        is where half of the first ones had stopped. slack: how far sums may be off; kind: of the sums.
         """
-        n, d = self.vectors.shape
-        side, weight, each = (weights < 0).astype(np.int64), np.abs(weights), np.arange(d)
-        lowest = self.head[side, each, -1]
-        left = weight[:, None] * np.abs(self.head[side, each] - lowest[:, None])  # what a list can still add, by cursor
-        base = float(lowest @ weights)
-        cursor, seen = np.zeros(d, np.int64), np.zeros(n + 1)
-        drop, now = left[:, :-1] - left[:, 1:], left[:, 0].copy()
-        gain = np.where(now > 0, drop[:, 0] + now * 1e-9, -1.0)
-        checked, few = math.inf, max(4 * k, n // 16)
-        while True:
-            rest = float(now.sum())
-            if rest <= FALL * checked or not (gain >= 0).any():
-                checked = rest
-                lower = seen[:n] if own is None else np.delete(seen[:n], own)
-                bound = floor - base
-                if len(lower) >= k:
-                    bound = max(bound, float(np.partition(lower, len(lower) - k)[len(lower) - k]))
-                bound -= 2 * slack
-                alive = np.flatnonzero(seen[:n] + rest >= bound)
-                if few < len(alive) <= n // 8:
-                    unseen = self.step[alive][:, side * d + each] >= cursor
-                    alive = alive[seen[alive] + unseen.astype(float) @ now >= bound]
-                if len(alive) <= few or not (gain >= 0).any():
-                    return alive if own is None else alive[alive != own]
-            lists = np.argpartition(-gain, LISTS)[:LISTS] if d > LISTS else each
-            lists = lists[gain[lists] >= 0]
-            at = side[lists], lists, cursor[lists]
-            seen += np.bincount(self.who[at].reshape(-1), (weight[lists, None] * self.rise[at]).reshape(-1), n + 1)
-            self.entries_read += int(np.minimum(self.batch, n - cursor[lists] * self.batch).sum())
-            cursor[lists] += 1
-            now[lists] = left[lists, cursor[lists]]
-            more = cursor[lists] < self.batches
-            gain[lists] = np.where(more & (now[lists] > 0), drop[lists, np.minimum(cursor[lists], self.batches - 1)] + now[lists] * 1e-9, -1.0)
+        stopped: list[float] = []
+        start, (n, d) = 0, self.vectors.shape
+        few, each, most = max(4 * k, n // 16), np.arange(d), max(1, min(TOGETHER, ROOM // (d * self.batches), ROOM // n))
+        while start < len(queries):
+            group = np.arange(start, min(len(queries), start + (most if start else min(most, FIRST))))
+            start += len(group)
+            side, weight = (queries[group] < 0).astype(np.int64), np.abs(queries[group])
+            left = weight[:, :, None] * self.left[side, each]  # what a list can still add, by cursor
+            order = np.argsort(-(weight[:, :, None] * self.slope[side, each]).reshape(len(group), -1), 1, kind="stable")
+            fall = np.take_along_axis((left[:, :, :-1] - left[:, :, 1:]).reshape(len(group), -1), order, 1)
+            rest = np.concatenate([np.cumsum(fall[:, ::-1], 1)[:, ::-1], np.zeros((len(group), 1))], 1)  # by batches read
+            turn = np.empty_like(order)
+            np.put_along_axis(turn, order, np.arange(order.shape[1])[None, :], 1)
+            turn = turn.reshape(len(group), d, -1)
+            done, seen = np.zeros(len(group), np.int64), np.zeros((len(group), n), kind)
+            goal, active = rest[:, 0] * (float(np.median(stopped)) if stopped else FALL), np.arange(len(group))
+            while len(active):
+                upto = np.maximum((rest[active] > goal[active, None]).sum(1), np.minimum(done[active] + 1, (rest[active] > 0).sum(1)))
+                fresh = (turn[active] >= done[active, None, None]) & (turn[active] < upto[:, None, None])
+                self.entries_read += int((fresh * self.sizes).sum())
+                now = fresh * weight[active, :, None]
+                self.read(np.stack([now * (side[active] == s)[:, :, None] for s in (0, 1)], 1), seen)
+                done[active] = upto
+                going = []
+                for i, q in enumerate(active.tolist()):
+                    unread, mine = float(rest[q, done[q]]), own[group[q]]
+                    if mine is not None:
+                        seen[i, mine] = -math.inf
+                    bound = float(np.partition(seen[i], n - k)[n - k]) - 2 * slack if n >= k else -math.inf
+                    alive = np.flatnonzero(seen[i] >= bound - unread)
+                    if unread and few < len(alive) <= n // 4:
+                        cursor = (turn[q] < done[q]).sum(1)
+                        unseen = self.step[side[q], each][:, alive] >= cursor[:, None]
+                        alive = alive[seen[i, alive] + left[q, each, cursor] @ unseen >= bound]
+                    if len(alive) <= few or not unread:
+                        if group[0] == 0:
+                            stopped.append(unread / max(float(rest[q, 0]), 1e-300))
+                        yield int(group[q]), alive if mine is None else alive[alive != mine]
+                    else:
+                        going.append(i)
+                        goal[q] = unread * FALL
+                if len(going) < len(active):
+                    active, seen = active[going], seen[going]
 
 
 def search(lists: Lists, ids: np.ndarray, queries: np.ndarray, own: list[int | None], k: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
-    """For each query (its index) the k best of the cell: places in it and exact scores, ties to the smaller id.
+    """For each query (its index), in any order, the k best of the cell: places in it and exact scores, ties to the smaller id.
 
-    Components are whole numbers. Where products can leave the exact doubles, bounds are taken from vectors scaled by
-    powers of two, with slack for their rounding, and the finalists' scores are summed up in Python's integers.
+    Components are whole numbers. Sums are floats where those are exact, else doubles. Where products can leave the
+    exact doubles, bounds are taken from vectors scaled by powers of two, with slack for their rounding, and the
+    finalists' scores are summed up in Python's integers.
     """
     vectors = lists.vectors
     most = [float(np.abs(x).max()) if x.size else 0.0 for x in (vectors, queries)]
-    exact = math.frexp(most[0])[1] + math.frexp(most[1])[1] + max(1, vectors.shape[1]).bit_length() <= 53
-    if not exact:
-        scale = [math.ldexp(1.0, -max(-1000, min(1000, math.frexp(x)[1]))) for x in most]
-        lists, queries_ = Lists(vectors * scale[0]), queries * scale[1]
-    for q, weights in enumerate(queries):
-        if exact:
-            found = lists.finalists(weights, k, -math.inf, own[q])
-            scores = (vectors[found] @ weights).astype(np.int64).tolist()  # finalists in the order of the cell's rows
-        else:
-            found = lists.finalists(queries_[q], k, -math.inf, own[q], slack=4e-16 * vectors.shape[1] ** 2)
-            whole = [int(x) for x in weights]
-            scores = [sum(a * int(b) for a, b in zip(whole, v, strict=True)) for v in vectors[found].tolist()]
+    exact = math.frexp(most[0])[1] + math.frexp(most[1])[1] + max(1, vectors.shape[1]).bit_length() <= 52
+    if exact:
+        narrow = 2 * most[0] * most[1] * vectors.shape[1] < _NARROW
+        for q, found in lists.finalists(queries, k, own, kind=np.float32 if narrow else np.float64):
+            scores = vectors[found] @ queries[q]  # finalists in the order of the cell's rows
+            if len(found) > k:
+                first = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+                found, scores = found[first], scores[first]
+            best = np.lexsort((ids[found], -scores))[:k]
+            yield q, found[best], scores[best].astype(np.int64).tolist()
+        return
+    scale = [math.ldexp(1.0, -max(-1000, min(1000, math.frexp(x)[1]))) for x in most]
+    for q, found in Lists(vectors * scale[0]).finalists(queries * scale[1], k, own, slack=8e-16 * BATCHES * vectors.shape[1] ** 2):
+        whole = [int(x) for x in queries[q]]
+        scores = [sum(a * int(b) for a, b in zip(whole, v, strict=True)) for v in vectors[found].tolist()]
         best = sorted(range(len(found)), key=lambda i: (-scores[i], ids[found[i]]))[:k]
         yield q, found[best], [scores[i] for i in best]
 

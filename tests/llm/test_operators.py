@@ -354,6 +354,25 @@ def test_nra_stops_early_and_is_exact(decay, most):
     assert lists.entries_read <= most * 20 * vectors.size
 
 
+@pytest.mark.parametrize("scale", [8, 5000])
+def test_queries_read_lists_together(monkeypatch, scale):
+    """Floats or doubles, several groups of queries, ties: a few reads for all queries, exact, and only a part of the entries."""
+    rnd = np.random.default_rng(11)
+    vectors = np.round(rnd.normal(size=(3000, 24)) * scale * 0.9 ** np.arange(24))
+    vectors[100:160] = vectors[7]
+    queries, own = vectors[:600], list(range(600))
+    ids, lists, reads, read = np.arange(3000) // 2, topk.Lists(vectors), [], topk.Lists.read
+    monkeypatch.setattr(topk.Lists, "read", lambda self, weights, seen: (reads.append((len(weights), seen.dtype)), read(self, weights, seen))[1])
+    got = {q: (found.tolist(), scores) for q, found, scores in topk.search(lists, ids, queries, own, 20)}
+    for q in range(600):
+        scores = (vectors @ queries[q]).astype(np.int64)
+        best = [i for i in np.lexsort((ids, -scores)).tolist() if i != q][:20]
+        assert got[q] == (best, scores[best].tolist())
+    assert {kind for _, kind in reads} == {np.dtype(np.float32 if scale == 8 else np.float64)}
+    assert len(reads) < 60 and max(n for n, _ in reads) > 200
+    assert lists.entries_read < 0.6 * 600 * vectors.size
+
+
 def _batch(texts):
     raw = [t.encode() for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
