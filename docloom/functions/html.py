@@ -80,6 +80,15 @@ def node_table(pages: DataFrame, html: str, *keep: str, ended: bool = False) ->
     return _rows(pages, html, keep, lambda x: H.node_rows(x, ended), NODE, _NODE)
 
 
+COUNTS = "struct<n_nodes:bigint,n_tag:bigint,n_text:bigint,n_comment:bigint,n_directive:bigint,title:string>"
+_COUNTS = pa.struct([*((n, pa.int64()) for n in ("n_nodes", "n_tag", "n_text", "n_comment", "n_directive")), ("title", pa.string())])
+
+
+def node_counts(html: Column | str, ended: bool = False) -> Column:
+    """How many nodes of each kind a page has, and its first title's text, as a COUNTS struct. ended: references without a semicolon stay."""
+    return _mapped(lambda x: H.node_counts(x, ended), html, COUNTS, _COUNTS)
+
+
 TOKEN = "struct<token_id:int,parent_id:int,kind:string,depth:int,text:string>"
 _TOKEN = pa.struct([("token_id", pa.int32()), ("parent_id", pa.int32()), ("kind", pa.string()), ("depth", pa.int32()), ("text", pa.string())])
 

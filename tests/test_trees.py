@@ -184,3 +184,22 @@ def test_counts_decode_ended_references_alone(spark, tmp_path):
     got = sorted((r.page_id, r.title) for r in catalogue.queries()["html_counts"](spark, str(tmp_path)).collect())
     want = con.execute(f"SELECT page_id, title FROM ({catalogue.oracle_sql()['html_counts']}) ORDER BY 1").fetchall()
     assert got == want == [(1, "A &&amp"), (2, "")]
+
+
+def test_counts_have_a_row_for_each_page(spark, tmp_path):
+    """Null and empty pages, shared ids and null ids. The SQL says one directive for any page; here they are counted."""
+    import duckdb
+
+    from docloom import catalogue
+
+    page = "<!DOCTYPE html><head>%s</head><body><!-- c --><p>x</p></body>"
+    rows = [(1, None), (2, ""), (3, page % "<title>a</title>"), (3, page % "<title>b</title><!-- d -->"), (None, page % "<title>c</title>"), (4, page % "<title></title>"), (5, page % ""), (6, page % "<title>d</title><title>e</title>"), (7, "x")]
+    spark.createDataFrame([(i, "u", x) for i, x in rows], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted((tuple(r) for r in catalogue.queries()["html_counts"](spark, str(tmp_path)).collect()), key=str)
+    want = sorted(con.execute(catalogue.oracle_sql()["html_counts"]).fetchall(), key=str)
+    found = {1: None, 2: 0, 7: 0}
+    assert got == [(i, n, found.get(i, m), x) for i, n, m, x in want] and len(got) == len(rows)
+    counted = T.counted(H.node_table(spark.createDataFrame(rows[2:], "page long, html string").filter("page > 3"), "html", "page"), "page")
+    assert sorted((r.page, r.n_comment, r.n_directive, r.title) for r in counted.collect()) == [(4, 1, 1, None), (5, 1, 1, None), (6, 1, 1, "d"), (7, 0, 0, None)]
