@@ -354,6 +354,15 @@ def test_nra_stops_early_and_is_exact(decay, most):
     assert lists.entries_read <= most * 20 * vectors.size
 
 
+@pytest.mark.parametrize("decay, most", [(0.6, 0.1), (0.9, 0.4), (1.0, 0.8)])
+def test_nra_reads_where_lists_fall(decay, most):
+    rnd = np.random.default_rng(9)
+    vectors, queries = (np.round(rnd.normal(size=(n, 32)) * 500 * decay ** np.arange(32)) for n in (4000, 20))
+    lists = topk.Lists(vectors)
+    assert len(list(topk.search(lists, np.arange(4000), queries, [None] * 20, 5))) == 20
+    assert lists.entries_read < most * 20 * vectors.size
+
+
 @pytest.mark.parametrize("scale", [8, 5000])
 def test_queries_read_lists_together(monkeypatch, scale):
     """Floats or doubles, several groups of queries, ties: a few reads for all queries, exact, and only a part of the entries."""
